@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm import secret_ledger, simhash_gph, token_counts
 from docloom.llm.common import table
 
 
-def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.llm.simhash_gph import op10
+def op2_digest_cache_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.op2(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
 
-    return op10(table(spark, sf_dir, "documents"))
+def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.op5(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gph.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
-}
+QUERIES = {f.__name__: f for f in (op2_digest_cache_tokens, op5_blob_ledger_secrets, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
