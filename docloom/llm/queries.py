@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import secret_ledger, simhash_gph, token_counts
+from docloom.llm import line_spread, secret_ledger, simhash_gph, temperature_mix, token_counts
 from docloom.llm.common import table
 
 
@@ -18,9 +18,17 @@ def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.op5(table(spark, sf_dir, "documents"))
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_digest_cache_tokens, op5_blob_ledger_secrets, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_digest_cache_tokens, op5_blob_ledger_secrets, op8_temperature_mixing, op9_line_site_spread, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op9_line_site_spread": line_spread.SQL}
