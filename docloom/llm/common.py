@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import fresh_path, materialise, shared_folder, table
+from docloom.session import fresh_path, materialise, shared_folder, ship, table
 
-__all__ = ["fresh_path", "held_out", "materialise", "shared_folder", "small_batches", "table", "text_or_empty", "words_of"]
+__all__ = ["fresh_path", "held_out", "materialise", "shared_folder", "ship", "small_batches", "table", "text_or_empty", "words_of"]
 
 #: A word, as the contracts define it: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch may hold; texts may be long."""
+    """Bound what one Arrow batch may hold, as texts may be long; sends the package to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
