@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they may have another working folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="docloom-ship-"), "docloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(home):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.join("docloom", os.path.relpath(os.path.join(top, n), home)))
+    sc.addPyFile(path)
+    sc._docloom_shipped = True
