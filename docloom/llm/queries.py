@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, line_spread, secret_ledger, simhash_gph, temperature_mix, token_counts
+from docloom.llm import decontaminate, langid_ecoc, line_spread, quality_nbsvm, secret_ledger, simhash_gph, temperature_mix, token_counts
 from docloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_digest_cache_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op2(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_nbsvm.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,6 +26,10 @@ def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.op5(table(spark, sf_dir, "documents"))
 
 
+def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_ecoc.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mix.op8(table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_digest_cache_tokens, op4_template_decontamination, op5_blob_ledger_secrets, op8_temperature_mixing, op9_line_site_spread, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_digest_cache_tokens, op3_nbsvm_quality, op4_template_decontamination, op5_blob_ledger_secrets, op7_ecoc_language, op8_temperature_mixing, op9_line_site_spread, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op9_line_site_spread": line_spread.SQL}
