@@ -47,25 +47,27 @@ def _shape(word: str) -> int:
 
 
 class Shapes:
+    """Numbers and shapes of words; starts anew when full."""
+
     def __init__(self):
         self.codes: dict[str, int] = {}
-        self.shape = [0]
+        self.shape = np.zeros(MEMO, np.int64)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Identity (within this call) and shape of each word."""
-        if len(self.shape) > MEMO:
-            self.codes, self.shape = {}, [0]
-        codes, shape = self.codes, self.shape
-        got = list(map(codes.get, words))
+        got = list(map(self.codes.get, words))
         if None in got:
-            for w in words:
-                if w not in codes:
-                    codes[w] = len(shape)
-                    shape.append(_shape(w))
-            got = list(map(codes.get, words))
-            self.table = np.array(shape, np.int64)
+            fresh = {w for w, c in zip(words, got, strict=True) if c is None}
+            if len(self.codes) + len(fresh) > len(self.shape):
+                self.codes, fresh = {}, set(words)
+                if len(fresh) > len(self.shape):
+                    self.shape = np.zeros(len(fresh), np.int64)
+            for w in fresh:
+                c = self.codes[w] = len(self.codes)
+                self.shape[c] = _shape(w)
+            got = list(map(self.codes.get, words))
         ids = np.array(got, np.int64)
-        return ids, self.table[ids]
+        return ids, self.shape[ids]
 
 
 _shapes = Shapes()
