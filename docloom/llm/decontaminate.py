@@ -225,10 +225,14 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     return joined.withColumn("contaminated", (F.col("coverage") >= cover) & (F.col("slot_agreement") >= agree))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no item contaminates, all columns. Null ids never match and stay unless a null id is contaminated."""
-    bad = matches(docs, bench, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(materialise(bad, "contaminated"), F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that no item contaminates, all columns. Texts, not ids, decide, so ids may be null or repeated."""
+    require(docs, text_col)
+    digest = F.unhex(F.sha2(F.col(text_col), 256))
+    bad = matches(docs.select(digest.alias("doc_id"), F.col(text_col).alias("text")), bench).where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    bad = materialise(bad, "contaminated")
+    rows = docs.select(F.struct("*").alias("row"), digest.alias("digest"))
+    return rows.join(bad, F.col("digest") == F.col("bad"), "left_anti").select("row.*")
 
 
 def op4(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -150,12 +150,12 @@ def identify(docs: DataFrame, most: int = 2400, model: Model | None = None, leas
         got = training_rows(docs.select("doc_id", "text", "lang"), most).mapInArrow(clean, "lang string, clean string").where("clean <> ''").toArrow()
         model = fit(got.column("clean").to_pylist(), got.column("lang").to_pylist())
     shared = spark.sparkContext.broadcast(model)  # a MB for a handful of languages
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct("*").alias("row"))
 
     def run(batches):
         m = shared.value
         for b in batches:
-            got = [m.predict(t) for t in b.column(1).to_pylist()]
+            got = [m.predict(t) for t in b.column(0).field("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] != UND and g[2] < least_gap for g in got], pa.bool_())],
                 names=["row", "lang_pred", "score", "ambiguous"],

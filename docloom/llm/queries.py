@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, langid_ecoc, line_spread, quality_nbsvm, secret_ledger, simhash_gph, temperature_mix, token_counts
+from docloom.llm import decontaminate, html_extract, langid_ecoc, line_spread, quality_nbsvm, repetition, secret_ledger, simhash_gph, temperature_mix, token_counts
 from docloom.llm.common import table
 
 
+def op1_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op1(table(spark, sf_dir, "pages"))
+
+
 def op2_digest_cache_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +30,10 @@ def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ecoc.op7(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_digest_cache_tokens, op3_nbsvm_quality, op4_template_decontamination, op5_blob_ledger_secrets, op7_ecoc_language, op8_temperature_mixing, op9_line_site_spread, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_consensus_host_paths, op2_digest_cache_tokens, op3_nbsvm_quality, op4_template_decontamination, op5_blob_ledger_secrets, op6_suffix_repetition, op7_ecoc_language, op8_temperature_mixing, op9_line_site_spread, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op9_line_site_spread": line_spread.SQL}

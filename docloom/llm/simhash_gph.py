@@ -209,6 +209,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, rows.fp == by_fp.fp_name).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+    """docs with one row of each component: the one of the least id (null last), the first of repeated rows."""
+    require(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).field(text_col).to_pylist()
+            fps = np.array([fingerprint_bytes(t, width) for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["row", "fp"])
+
+    # numbered when written, so the numbers stay
+    marked = docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, fp long").withColumn("rid", F.monotonically_increasing_id())
+    rows = materialise(marked, "fingerprints")
+    own = F.col("row").getField(id_col)
+    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid"))).alias("first")), "nodes")
+    roots = components(links(nodes.select("fp"), radius))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    winners = materialise(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep")), "winners")
+    return rows.join(winners, rows.rid == winners.keep, "left_semi").select("row.*")
+
+
 def op10(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
