@@ -229,7 +229,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
     winners = materialise(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep")), "winners")
-    return rows.join(winners, rows.rid == winners.keep, "left_semi").select("row.*")
+    # winners grow with the corpus: always a merge join, never one side sent to all
+    return rows.join(winners.hint("merge"), rows.rid == winners.keep, "left_semi").select("row.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:
