@@ -1,0 +1,110 @@
+"""Word-processor text streams: big-endian UTF-16 with control codes."""
+
+from __future__ import annotations
+
+import struct
+
+MAGIC = b"SsmgV.01"
+BLOCK, TEXT, NEWLINE, SECTION = 0x1C, 0x1F, 0x0A, 0x0E
+
+
+def content_start(data: bytes) -> int:
+    """Offset of the first code unit, or -1."""
+    if len(data) < 0x20 or MAGIC not in data[:64]:
+        return -1
+    for mark in (b"CTextV.01", b"TextV.01"):
+        at = data.find(mark)
+        if at >= 0:
+            at += len(mark)
+            while at < len(data) and data[at] == 0:
+                at += 1
+            return at + at % 2
+    return -1
+
+
+def lines(data: bytes) -> list[str]:
+    """Lines with text, in order."""
+    start = content_start(data)
+    if start < 0:
+        return []
+    units = struct.unpack(f">{(len(data) - start) // 2}H", data[start : start + (len(data) - start) // 2 * 2])
+    out: list[str] = []
+    now: list[int] = []
+
+    def flush() -> None:
+        text = struct.pack(f">{len(now)}H", *now).decode("utf-16-be", "ignore")
+        now.clear()
+        if text.strip():
+            out.append(text)
+
+    inside, at = False, 0
+    while at < len(units):
+        u = units[at]
+        at += 1
+        if u == BLOCK:
+            flush()
+            while at < len(units) and units[at] != TEXT:
+                at += 1
+            at += 1
+            inside = True
+        elif u == TEXT:
+            inside = True
+        elif not inside:
+            continue
+        elif u in (NEWLINE, SECTION):
+            flush()
+            inside = u == NEWLINE
+        elif u >= 0x20 or u == 9:
+            now.append(u)
+    if inside:
+        flush()
+    return out
+
+
+def stream_of(content: bytes) -> bytes:
+    """The text stream of a file, or the bytes themselves if they are one."""
+    if MAGIC in content[:64]:
+        return content
+    from docloom.sources.ole import CompoundFile
+
+    f = CompoundFile(content)
+    return f.read(next(n for n in f.names() if n.lower() in ("documenttext", "jtdbody")))
+
+
+def events(data: bytes) -> list[tuple[str, int, int, int, int, str]]:
+    """(kind, offset, col_start, col_end, rulers, text) of cells, paragraphs and section ends."""
+    start = content_start(data)
+    if start < 0:
+        return []
+    out, at = [], start
+    u16 = lambda p: struct.unpack_from(">H", data, p)[0] if 0 <= p <= len(data) - 2 else -1
+
+    def text_at(p: int) -> str:
+        chars: list[int] = []
+        while 0 <= p <= len(data) - 2 and len(chars) < 500 and u16(p) not in (BLOCK, SECTION, NEWLINE):
+            if u16(p) >= 0x20:
+                chars.append(u16(p))
+            p += 2
+        return struct.pack(f">{len(chars)}H", *chars).decode("utf-16-be", "ignore")
+
+    while at <= len(data) - 2:
+        u = u16(at)
+        if u == BLOCK:
+            end = at + 2
+            while end <= len(data) - 2 and u16(end) != TEXT:
+                end += 2
+            kind = u16(at + 2)
+            if kind == 0x30:
+                out.append(("CELL", at, u16(at + 8), u16(at + 10), 0, text_at(end + 2)))
+            elif kind == 0x10:
+                body = [u16(p) for p in range(at + 4, min(end, len(data) - 1), 2)]
+                rulers = sum(1 for a, b in zip(body, body[1:], strict=False) if a == 0x1B and b == 0x13)
+                out.append(("PARA", at, 0, 0, rulers, text_at(end + 2)))
+            at = end + 2
+            continue
+        if u == SECTION:
+            out.append(("SECTION_END", at, 0, 0, 0, ""))
+        elif u == NEWLINE:
+            out.append(("NEWLINE", at, 0, 0, 0, ""))
+        at += 2
+    return out
