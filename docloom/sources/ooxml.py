@@ -26,6 +26,10 @@ def child(e: ET.Element | None, *path: str) -> ET.Element | None:
     return e
 
 
+def kids(e: ET.Element | None) -> list[ET.Element]:
+    return [] if e is None else list(e)
+
+
 def under(e: ET.Element, name: str) -> list[ET.Element]:
     return [x for x in e.iter() if tag(x) == name]
 
@@ -55,9 +59,9 @@ def xlsx_cells(content: bytes) -> list[tuple]:
     strings = p.xml("xl/sharedStrings.xml")
     shared = ["".join(t.text or "" for t in under(si, "t")) for si in strings] if strings is not None else []
     styles = p.xml("xl/styles.xml")
-    fonts = [child(f, "b") is not None and attr(child(f, "b"), "val", "1") != "0" for f in child(styles, "fonts") or []] if styles is not None else []
-    borders = [any(attr(side, "style") for side in b) for b in child(styles, "borders") or []] if styles is not None else []
-    formats = [(int(attr(x, "fontId", "0")), int(attr(x, "borderId", "0"))) for x in child(styles, "cellXfs") or []] if styles is not None else []
+    fonts = [child(f, "b") is not None and attr(child(f, "b"), "val", "1") != "0" for f in kids(child(styles, "fonts"))] if styles is not None else []
+    borders = [any(attr(side, "style") for side in b) for b in kids(child(styles, "borders"))] if styles is not None else []
+    formats = [(int(attr(x, "fontId", "0")), int(attr(x, "borderId", "0"))) for x in kids(child(styles, "cellXfs"))] if styles is not None else []
     out = []
     for no, s in enumerate(x for x in child(book, "sheets") if attr(x, "state") != "hidden"):
         sheet = p.xml(rels[attr(s, "id")])
@@ -161,7 +165,7 @@ def pptx_elements(content: bytes) -> list[tuple]:
     p = Package(content)
     show, rels = p.xml("ppt/presentation.xml"), p.relations("ppt/presentation.xml")
     out = []
-    for no, s in enumerate(child(show, "sldIdLst") or [], 1):
+    for no, s in enumerate(kids(child(show, "sldIdLst")), 1):
         root = p.xml(rels[s.attrib.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id", attr(s, "id"))])
         shapes = []
 
