@@ -11,8 +11,8 @@ leftmost and non-overlapping per kind; positions are running sums of the
 lengths of matches and of the pieces between them.
 
 Nulls and odd cases: null text is the empty text, without findings; repeated
-rows each get their row; other columns are ignored; an empty table gives an
-empty result.
+rows each get their row; other columns pass through, but for own ones named
+blob and findings, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE + MORE, te
     found = find_spans(distinct, rules).select("blob", "findings")
     found.withColumn("rules", F.lit(version)).write.mode("append").partitionBy("rules").parquet(ledger)
 
-    keep = [F.col(c) for c in docs.columns if c != text_col]
+    keep = [F.col(c) for c in docs.columns if c != text_col and c.lower() not in ("blob", "findings")]
     rows = docs.select(F.struct(*keep).alias("row") if keep else F.lit(1).alias("row"), blob.alias("key"))
     known = stored()
     return rows.join(known, rows.key == known.blob).select(*(["row.*"] if keep else []), "blob", "findings")

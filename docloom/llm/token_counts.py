@@ -139,7 +139,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text_col: str = "t
     new.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
 
     counts = read_cache(spark, cache, version)
-    keep = [F.col(c) for c in docs.columns if c != text_col]
+    keep = [F.col(c) for c in docs.columns if c != text_col and c.lower() not in ("n_bytes", "n_tokens")]
     rows = docs.select(F.struct(*keep).alias("row") if keep else F.lit(1).alias("row"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("key"))
     return rows.join(counts, rows.key == counts.content).select(*(["row.*"] if keep else []), "n_bytes", "n_tokens")
 
