@@ -51,4 +51,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_consensus_host_paths, op2_digest_cache_tokens, op3_nbsvm_quality, op4_template_decontamination, op5_blob_ledger_secrets, op6_suffix_repetition, op7_ecoc_language, op8_temperature_mixing, op9_line_site_spread, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op9_line_site_spread": line_spread.SQL}
+ORACLES: dict[str, str] = {"op5_blob_ledger_secrets": secret_ledger.SQL, "op9_line_site_spread": line_spread.SQL}

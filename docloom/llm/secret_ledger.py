@@ -138,3 +138,20 @@ def op5(docs: DataFrame) -> DataFrame:
         F.sha2(text_of(base), 256).alias("base_sha256"),
         text_of(F.col("findings")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The same by DuckDB: every text scanned, positions from lengths of matches and of what lies between."""
+    parts = []
+    for k, r in enumerate(BASE + MORE):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"SELECT n, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS h, regexp_extract_all(t, '{p}', {r.group}) AS v, string_split_regex(t, '{p}') AS g FROM d")
+    return f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT n, k, kind, least, h, v, g, unnest(range(1, len(h) + 1)) AS i FROM ({' UNION ALL '.join(parts)}) x WHERE len(h) > 0),
+s AS (SELECT n, k, kind, length(h[i]) AS size, length(v[i]) >= least AS ok, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS a FROM m),
+f AS (SELECT n, k, a, kind || ':' || CAST(a AS bigint) || ':' || CAST(a + size AS bigint) AS span FROM s WHERE ok),
+e AS (SELECT n, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM f GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN e USING (n)"""
+
+
+SQL = _sql()
