@@ -52,7 +52,7 @@ def expand_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return joined.select(cells.sheet, cells.row, cells.col, F.when(is_blank(cells.value), F.coalesce("master", cells.value)).otherwise(cells.value).alias("value"))
 
 
-RANGE = r"^'?(.*?)'?!?\$?([A-Z]+)\$?(\d+)(?::\$?([A-Z]+)\$?(\d+))?$"
+RANGE = r"^'?(.*?)'?!?[$]?([A-Z]+)[$]?(\d+)(?:[:][$]?([A-Z]+)[$]?(\d+))?$"
 
 
 def parse_range(ref: Column) -> Column:

@@ -63,9 +63,10 @@ def _zip(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-A = "http://schemas.openxmlformats.org/drawingml/2006/main"
+OFFICE = "http://schemas.openxmlformats.org"
+R = f"{OFFICE}/officeDocument/2006/relationships"
+W = f"{OFFICE}/wordprocessingml/2006/main"
+A = f"{OFFICE}/drawingml/2006/main"
 
 
 def _escape(x: str) -> str:
@@ -85,7 +86,7 @@ def make_docx(title: str, text: str, rows: list[list[str]]) -> bytes:
 
 def make_pptx(title: str, text: str) -> bytes:
     sp = lambda t, y, ph="": f'<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:spPr><a:xfrm><a:off x="1" y="{y}"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{_escape(t)}</a:t></a:r></a:p></p:txBody></p:sp>'
-    ns = f'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="{A}" xmlns:r="{R}"'
+    ns = f'xmlns:p="{OFFICE}/presentationml/2006/main" xmlns:a="{A}" xmlns:r="{R}"'
     return _zip({"[Content_Types].xml": "<Types>presentationml</Types>", "ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="r1" Target="slides/slide1.xml"/></Relationships>', "ppt/slides/slide1.xml": f"<p:sld {ns}><p:cSld><p:spTree>{sp(text, 200)}{sp(title, 100, '<p:ph type=\"title\"/>')}</p:spTree></p:cSld></p:sld>"})
 
 
@@ -147,7 +148,7 @@ def omml_to_latex(spark, sf_dir):
 
         return x.map(to_latex)
 
-    m = "http://schemas.openxmlformats.org/officeDocument/2006/math"
+    m = f"{OFFICE}/officeDocument/2006/math"
     r = lambda t: f"<m:r><m:t>{t}</m:t></m:r>"
     parts = f"<m:oMath xmlns:m=\"{m}\"><m:f><m:num><m:r><m:t>", f"</m:t></m:r></m:num><m:den><m:sSup><m:e>{r('x')}</m:e><m:sup>{r('2')}</m:sup></m:sSup></m:den></m:f>{r('+')}<m:rad><m:deg/><m:e>{r('α')}</m:e></m:rad></m:oMath>"
     return table(spark, sf_dir, "nation").select("n_nationkey", latex(F.concat(F.lit(parts[0]), "n_name", F.lit(parts[1]))).alias("latex"))

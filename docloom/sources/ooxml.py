@@ -166,7 +166,7 @@ def pptx_elements(content: bytes) -> list[tuple]:
     show, rels = p.xml("ppt/presentation.xml"), p.relations("ppt/presentation.xml")
     out = []
     for no, s in enumerate(kids(child(show, "sldIdLst")), 1):
-        root = p.xml(rels[s.attrib.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id", attr(s, "id"))])
+        root = p.xml(rels[next((v for k, v in s.attrib.items() if k.endswith("relationships}id")), attr(s, "id"))])
         shapes = []
 
         def place(x: ET.Element) -> tuple[float, float]:

@@ -11,7 +11,7 @@ from docloom.functions import text as T
 from docloom.functions.omml import to_latex
 from docloom.operators import events as E
 from docloom.operators import geometry as G
-from docloom.plans.source_queries import make_docx, make_jtd, make_pptx, make_xlsx
+from docloom.plans.source_queries import OFFICE, make_docx, make_jtd, make_pptx, make_xlsx
 from docloom.sources import detect, jtd, ooxml
 
 
@@ -30,7 +30,7 @@ CASES = [
     (T.strip_markdown, "# A\n\n- b\n  * c\n3. d **e** *f*\n| a | b |  |\n|---|:-:|\n---\n----\n![x](y)\nt ![i](j) [k](l)  ", "A\n\nb\n  c\nd e f\na\tb\n----\nt !i k"),
     (T.normalize, "  ス　 ペ\n\nース　 ", "ス ペ ース"),
     (T.normalize, None, ""),
-    (T.escape_angles, "<Tag>", "&lt;Tag&gt;"),
+    (T.escape_angles, "a<b>", "a&lt;b&gt;"),
     (T.escape_angles, None, ""),
     (T.anchor_id, "第1章 はじめに!@#", "第1章-はじめに"),
     (T.heading_title, "第1章 システム概要", "システム概要"),
@@ -144,7 +144,7 @@ def test_compound_files():
     assert detect.ole_kind(compound("WordDocument", b"")) == "word" and detect.ole_kind(b"no") == "unknown"
 
 
-M = "http://schemas.openxmlformats.org/officeDocument/2006/math"
+M = f"{OFFICE}/officeDocument/2006/math"
 
 
 @pytest.mark.parametrize(
