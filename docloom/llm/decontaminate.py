@@ -180,7 +180,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     require(bench, "item_id", "text")
     spark = docs.sparkSession
     small_batches(spark)
-    items = materialise(item_windows(bench), "item-windows")
+    items = materialise(item_windows(bench), "item-windows", narrow=True)
     packed = bitmap(items)
     shared, key = spark.sparkContext.broadcast(packed), hashlib.sha256(packed).hexdigest()
     # the widths in use: items shorter than the window have their own
@@ -230,7 +230,6 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text") ->
     require(docs, text_col)
     digest = F.unhex(F.sha2(F.col(text_col), 256))
     bad = matches(docs.select(digest.alias("doc_id"), F.col(text_col).alias("text")), bench).where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    bad = materialise(bad, "contaminated")
     rows = docs.select(F.struct("*").alias("row"), digest.alias("digest"))
     return rows.join(bad, F.col("digest") == F.col("bad"), "left_anti").select("row.*")
 

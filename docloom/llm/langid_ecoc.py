@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import held_out, materialise, require, small_batches
+from docloom.llm.common import held_out, require, small_batches
 from docloom.llm.linear import dual_descent
 
 BUCKETS = 1 << 15
@@ -130,8 +130,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def training_rows(docs: DataFrame, most: int) -> DataFrame:
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    # a table of languages: as long as the languages are many
-    share = materialise(counts.crossJoin(counts.agg(F.count("*").alias("k"))).select(F.col("lang").alias("share_lang"), F.least(F.lit(1.0), F.lit(float(most)) / F.col("k") / F.col("n")).alias("share")), "lang-shares")
+    # one row per language; cached with its lineage, so a lost executor's part is made again
+    share = counts.crossJoin(counts.agg(F.count("*").alias("k"))).select(F.col("lang").alias("share_lang"), F.least(F.lit(1.0), F.lit(float(most)) / F.col("k") / F.col("n")).alias("share")).persist()
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) / 1e6
     return usable.join(share, F.col("lang") == F.col("share_lang")).where(place < F.col("share")).select("lang", "text")
 

@@ -51,12 +51,12 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, text_col: str = "text", si
     spread = keyed.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.count("*").alias("n"))
     # a line on min_sites sites comes min_sites times at least
     spread = spread.where(F.col("n") >= min_sites).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - BAND))
-    spread = materialise(spread, "spread")
+    spread = materialise(spread, "spread", narrow=True)
     sure = F.col("sites") > min_sites * (1 + BAND)
     near = spread.where(~sure).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     pairs = keyed.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").select("h1", "h2", "site")
     exact = pairs.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    return materialise(spread.where(sure).select("h1", "h2").union(exact.select("h1", "h2")), "boilerplate")
+    return spread.where(sure).select("h1", "h2").union(exact.select("h1", "h2"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_removed: float = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:

@@ -139,7 +139,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     chance = lambda k: min(1.0, most / 2 / counts[k]) if counts.get(k) else 0.0
     place = F.pmod(F.xxhash64(F.lit("fit"), "label_id"), F.lit(1_000_000)) / 1e6
-    chosen = materialise(usable.where(place < F.when(F.col("label") == 1, chance(1)).otherwise(chance(0))), "chosen-labels")
+    chosen = materialise(usable.where(place < F.when(F.col("label") == 1, chance(1)).otherwise(chance(0))), "chosen-labels", narrow=True)
     # about `most` ids by construction, so this side may be sent to all
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label", "text")
 

@@ -175,20 +175,19 @@ def links(fps: DataFrame, radius: int = 3, plan: list[tuple[list[int], int]] | N
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node of its component. edges: (a, b) of longs.
 
-    Alternating large-star and small-star steps; each round is a written table,
+    Alternating large-star and small-star steps; each round is one written table (the large star's shuffle serves both uses of it),
     and every star is built by a map-side combined minimum and a join that AQE may split.
     """
-    now = materialise(edges.where("a <> b").distinct(), "edges")
+    now = materialise(edges.where("a <> b").distinct(), "edges", narrow=True)
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")).toDF("a", "b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         # large star: neighbours above u go to u's minimum
         large = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialise(large, "large")
         # small star: the lower neighbours of u, and u, go to u's minimum; here every edge has b < a
         down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(down, large.a == down.u).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        small = materialise(small, "small")
+        small = materialise(small, "stars", narrow=True)
         # done when every node has one edge only and no root is itself a child
         state = small.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"]
         if state is None or (state == 1 and small.join(small.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi").isEmpty()):
@@ -200,12 +199,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), component_id (the least id reachable)."""
     rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", narrow=True)
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "named")
-    names = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root_name"), "names")
-    by_fp = materialise(named.join(names, named.root == names.root_name).select(F.col("fp").alias("fp_name"), "component_id"), "by_fp")
+    names = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root_name")
+    # written, so that the last join gets both sides by plain exchanges
+    by_fp = materialise(named.join(names, named.root == names.root_name).select(F.col("fp").alias("fp_name"), "component_id"), "by_fp", narrow=True)
     return rows.join(by_fp, rows.fp == by_fp.fp_name).select("doc_id", "fp", "component_id")
 
 
@@ -225,10 +224,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     marked = docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, fp long").withColumn("rid", F.monotonically_increasing_id())
     rows = materialise(marked, "fingerprints")
     own = F.col("row").getField(id_col)
-    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid"))).alias("first")), "nodes")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid"))).alias("first")), "nodes", narrow=True)
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    winners = materialise(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep")), "winners")
+    winners = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep"))
     # winners grow with the corpus: always a merge join, never one side sent to all
     return rows.join(winners.hint("merge"), rows.rid == winners.keep, "left_semi").select("row.*")
 

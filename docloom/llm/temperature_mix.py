@@ -15,7 +15,7 @@ the next document would go over it.
 
 Scale: two aggregations to the sources and to at most `most_blocks` blocks a
 source; the only windows run over one source's blocks and over the documents
-of each source's last block. A bisection step reads the written per-source
+of each source's last block. A bisection step reads the cached per-source
 table, 31 exponents (five halvings) at a time, and only those 31 rows reach
 the driver.
 
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), count_words(F.col(text_col)).alias("n_tokens"))
     # ties of the first hash are settled by the second and the id; rows that are alike in all three are one unit
     rows = materialise(rows, "mix-rows")
-    sources = materialise(rows.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
+    sources = rows.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens")).persist()
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         z = F.lit(0).cast("long")
@@ -84,19 +84,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     weight = F.round(power / F.lit(norm), 12)
     share = F.round(weight * F.lit(spend)).cast("long")
     passes = F.when(F.col("tokens") > 0, F.floor(share / F.col("tokens"))).otherwise(1)
-    plan = materialise(
-        sources.select(
-            F.col("source_key").alias("plan_key"),
-            weight.alias("weight"),
-            passes.cast("long").alias("passes"),
-            F.when(F.col("tokens") > 0, share - passes * F.col("tokens")).otherwise(0).cast("long").alias("rest"),
-            F.greatest(F.lit(1), F.least(F.lit(most_blocks), F.ceil(F.col("tokens") / F.lit(block_tokens)))).cast("long").alias("n_blocks"),
-        ),
-        "mix-plan",
+    plan = sources.select(
+
+        F.col("source_key").alias("plan_key"),
+        weight.alias("weight"),
+        passes.cast("long").alias("passes"),
+        F.when(F.col("tokens") > 0, share - passes * F.col("tokens")).otherwise(0).cast("long").alias("rest"),
+        F.greatest(F.lit(1), F.least(F.lit(most_blocks), F.ceil(F.col("tokens") / F.lit(block_tokens)))).cast("long").alias("n_blocks"),
     )
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("n_tokens"))
     dealt = rows.join(plan, rows.source_key == plan.plan_key).withColumn("h", order).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("h")), F.col("n_blocks")))
-    dealt = materialise(dealt.drop("plan_key"), "mix-dealt")
     blocks = dealt.groupBy("source_key", "block", "rest").agg(F.sum("n_tokens").alias("block_tokens"))
     by_hash = W.partitionBy("source_key").orderBy(F.xxhash64(F.lit(seed + 2), F.col("source_key"), F.col("block")), "block")
     before = F.sum("block_tokens").over(by_hash) - F.col("block_tokens")
@@ -106,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.row_number().over(by_hash).cast("long").alias("nth"),
         F.when(F.col("before") + F.col("block_tokens") <= F.col("rest"), F.lit(1)).when(F.col("before") < F.col("rest"), F.col("rest") - F.col("before") + 1).otherwise(F.lit(0)).cast("long").alias("left"),
     )
-    blocks = materialise(blocks, "mix-blocks")  # left: 1 all of it, 0 none, else one more than the tokens still to take
+    # left: 1 all of it, 0 none, else one more than the tokens still to take
     placed = dealt.join(blocks, (F.col("source_key") == F.col("b_key")) & (F.col("block") == F.col("b_block")))
     inside = W.partitionBy("source_key", "block").orderBy("h", "doc_id", "n_tokens")
     run = F.sum("n_tokens").over(inside)  # rows that are alike count together

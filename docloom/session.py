@@ -50,11 +50,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/docloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    narrow: rows are a few numbers each, so at most three files per core, however many shuffle partitions there are.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(3 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
