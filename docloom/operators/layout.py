@@ -48,7 +48,7 @@ def column_layout(lines: DataFrame, width: float = 600.0) -> DataFrame:
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """lines(page, id, x, y, kind full|left|right) + place: full lines cut the page into bands; a band is read left, then right."""
-    by_y = W.partitionBy("page").orderBy("y", "x", "id")
+    by_y = W.partitionBy("page").orderBy("y", "x", "id", "kind")
     upto = by_y.rowsBetween(W.unboundedPreceding, W.currentRow)
     full = F.col("kind") == "full"
     # a full line opens a band; it comes before the columns that follow it

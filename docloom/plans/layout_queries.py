@@ -59,7 +59,7 @@ def column_layout(spark, sf_dir):
 LINES = ("l_orderkey AS page", "l_linenumber AS id", "CAST(l_partkey % 600 AS double) AS x", "CAST(l_suppkey % 80 * 10 AS double) AS y", "CASE WHEN l_quantity > 40 THEN 'full' WHEN l_partkey % 600 < 300 THEN 'left' ELSE 'right' END AS kind")
 
 
-@query(f"""WITH l AS (SELECT {', '.join(LINES)} FROM lineitem), b AS (SELECT *, CAST(sum(CASE WHEN kind = 'full' THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, x, id ROWS UNBOUNDED PRECEDING) AS bigint) AS band FROM l)
+@query(f"""WITH l AS (SELECT {', '.join(LINES)} FROM lineitem), b AS (SELECT *, CAST(sum(CASE WHEN kind = 'full' THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, x, id, kind ROWS UNBOUNDED PRECEDING) AS bigint) AS band FROM l)
 SELECT page, id, x, y, kind, band, row_number() OVER (PARTITION BY page ORDER BY band, CASE kind WHEN 'full' THEN 0 WHEN 'left' THEN 1 ELSE 2 END, y, x, id) AS place FROM b""")
 def reading_order(spark, sf_dir):
     return L.reading_order(lineitem(spark, sf_dir, *LINES))
