@@ -123,7 +123,8 @@ def within(p: np.ndarray, most: int) -> list[float]:
 
 def allocate(n: int, both: np.ndarray, radius: int = 3, most_parts: int = 6) -> list[tuple[list[int], int]]:
     """Partitions with thresholds, at the least sum of probe rows and expected candidates."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # an empty table too gets the plan of fewest probes
+    p = np.diag(both) / n
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(1, min(most_parts, radius + 1) + 1):
         groups = group_bits(n, both, m)
