@@ -127,13 +127,16 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(names, code, weights, bias, trust, 4.0)
 
 
-def training_rows(docs: DataFrame, most: int) -> DataFrame:
+def training_rows(docs: DataFrame, most: int, most_langs: int = 1000) -> DataFrame:
+    """(lang, text) of about `most` rows, evenly by language, by hash of the id. Chances stand in the plan, one per language, so texts aren't shuffled."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    # one row per language; cached with its lineage, so a lost executor's part is made again
-    share = counts.crossJoin(counts.agg(F.count("*").alias("k"))).select(F.col("lang").alias("share_lang"), F.least(F.lit(1.0), F.lit(float(most)) / F.col("k") / F.col("n")).alias("share")).persist()
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages to learn from")
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) / 1e6
-    return usable.join(share, F.col("lang") == F.col("share_lang")).where(place < F.col("share")).select("lang", "text")
+    # most / len(counts) rows a language, by its count
+    chance = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, most / len(counts) / n)))]) if counts else None
+    return usable.where(F.lit(False) if chance is None else place < F.try_element_at(chance, F.col("lang"))).select("lang", "text")
 
 
 def identify(docs: DataFrame, most: int = 2400, model: Model | None = None, least_gap: float = 0.2) -> DataFrame:
