@@ -39,14 +39,43 @@ MAP_BITS = 26
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|_`~“”‘’«»…–—"
 NUMBER = re.compile(r"[+\-−]?[$€£¥]?[0-9][0-9.,:/]*(?:e[+\-]?[0-9]+)?[%°]?(?:st|nd|rd|th)?")
 MEASURE = re.compile(r"([+\-−]?[$€£¥]?[0-9][0-9.,]*)([a-zµ°²³/]{1,6})")
+PERCENT = STRIP.replace("%", "")
+END = frozenset(".!?:")
+DIGIT = re.compile("[0-9]")
 UNITS = frozenset("mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons lb lbs pound pounds oz ounce ounces ml cl l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent dollar dollars euro euros cent cents usd eur gbp k kmh mph km/h m/s hz khz mhz ghz w kw v volt volts a amp amps j kj cal kcal degree degrees °c °f".split())
 PLAIN, NUM, NAME, UNIT = 0, 1, 2, 3
 _SLOT = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
 
+def describe(word: str) -> tuple[int, int]:
+    """A word's literal hash (0 for punctuation alone) and its marks: kind, plus 4 if it may be a unit, plus 8 if it ends a sentence."""
+    plain = word.isalpha()
+    bare = word if plain else word.strip(STRIP)
+    if not bare:
+        return 0, (4 if word.strip(PERCENT) == "%" else 0) + (8 if _ends(word) else 0)
+    low = bare.lower()
+    marks = 4 if low in UNITS else 0
+    if plain or DIGIT.search(low) is None:
+        if len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+            marks += NAME
+    elif NUMBER.fullmatch(low) or ((m := MEASURE.fullmatch(low)) and m[2] in UNITS):
+        marks += NUM
+    elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+        marks += NAME
+    if not plain:
+        marks += 8 if _ends(word) else 0
+        if word.strip(PERCENT) == "%":
+            marks |= 4
+    return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 11) | 1, marks
+
+
+def _ends(word: str) -> bool:
+    return word.rstrip("\"')]}*#$%&”’»")[-1:] in END
+
+
 class Vocabulary:
-    """Per distinct word: literal hash, kind, may be a unit, ends a sentence. Starts anew when full."""
+    """What describe() says of each distinct word, by number. Starts anew when full."""
 
     def __init__(self, most: int = 1 << 18):
         self.most = most
@@ -55,35 +84,24 @@ class Vocabulary:
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.hash = np.zeros(self.most, np.uint64)
-        self.kind = np.zeros(self.most, np.int8)
-        self.unit = np.zeros(self.most, bool)
-        self.ends = np.zeros(self.most, bool)
+        self.marks = np.zeros(self.most, np.int8)
 
     def codes(self, words: list[str]) -> np.ndarray:
         got = list(map(self.code.get, words))
         if None in got:
             fresh = {w for w, c in zip(words, got, strict=True) if c is None}
             if len(self.code) + len(fresh) > self.most:
-                self.most = max(self.most, len(set(words)))
-                self.clear()
                 fresh = set(words)
-            for w in fresh:
-                self.add(w)
+                self.most = max(self.most, len(fresh))
+                self.clear()
+            at = len(self.code)
+            self.code.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            found = list(map(describe, fresh))
+            self.hash[at : at + len(fresh)] = np.array([h for h, _ in found], np.uint64)
+            self.marks[at : at + len(fresh)] = [m for _, m in found]
             got = list(map(self.code.get, words))
         return np.array(got, np.int64)
 
-    def add(self, word: str) -> None:
-        c = self.code[word] = len(self.code)
-        bare = word.strip(STRIP)
-        low = bare.lower()
-        self.hash[c] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 11) | 1 if bare else 0
-        if NUMBER.fullmatch(low) or ((m := MEASURE.fullmatch(low)) and m[2] in UNITS):
-            self.kind[c] = NUM
-        elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
-            self.kind[c] = NAME
-        self.unit[c] = low in UNITS or word.strip(STRIP.replace("%", "")) == "%"
-        self.ends[c] = word.rstrip("\"')]}*#$%&”’»")[-1:] in (".", "!", "?", ":")
-
 
 _words = Vocabulary()
 
@@ -97,9 +115,9 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), words
     c = _words.codes(words)
-    h, kind, unit = _words.hash[c], _words.kind[c].copy(), _words.unit[c]
-    ends = _words.ends[c]
-    starts = np.append(True, ends[:-1])
+    h, marks = _words.hash[c], _words.marks[c]
+    kind, unit = marks & 3, marks & 4 > 0
+    starts = np.append(True, marks[:-1] & 8 > 0)
     kind[starts & (kind == NAME)] = PLAIN
     kind[1:][unit[1:] & (kind[:-1] == NUM)] = UNIT
     h = np.where(kind == PLAIN, h, _SLOT[kind])
