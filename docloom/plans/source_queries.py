@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -132,6 +133,19 @@ def jtd_extract(spark, sf_dir):
     return S.elements(_files(_suppliers(spark, sf_dir), lambda a, b, c: make_jtd([f"{a}様", " ", f"国{c}"]), "jtd")).select("path", "file_type", "seq", "text")
 
 
+def make_pdf(title: str, body: list[str]) -> bytes:
+    """One page: a large line, then a paragraph of lines."""
+    show = lambda t: b"(" + t.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj"
+    page = b"BT /F1 24 Tf 50 700 Td " + show(title) + b" ET BT /F1 10 Tf 12 TL 50 660 Td " + b" T* ".join(map(show, body)) + b" ET"
+    data = zlib.compress(page)
+    return b"%%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /MediaBox [0 0 600 800] /Contents 4 0 R /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> >> >> >> endobj\n4 0 obj << /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj\n%%%%EOF" % (len(data), data)
+
+
+@query("SELECT s_name || '.pdf' AS path, '# ' || s_name || chr(10) || chr(10) || '# ' || s_name || chr(10) || chr(10) || 'This line of the page is longer than a title and is of nation ' || s_nationkey || '.' || chr(10) AS md, CAST(NULL AS varchar) AS error FROM supplier")
+def pdf_to_markdown(spark, sf_dir):
+    return S.markdown(S.elements(_files(_suppliers(spark, sf_dir), lambda a, b, c: make_pdf(a, ["This line of the page is longer than a title", f"and is of nation {c}."]), "pdf")))
+
+
 @query("SELECT s_name || '.docx' AS path, 'BadZipFile' AS error FROM supplier")
 def broken_file_rows(spark, sf_dir):
     bad = _files(_suppliers(spark, sf_dir), lambda a, b, c: b"PK\x03\x04" + a.encode(), "docx")
