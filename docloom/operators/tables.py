@@ -140,3 +140,16 @@ def language_of(env: Column) -> Column:
     """The label language of a locale: nothing, C and POSIX are Japanese, as is all but English."""
     first = F.lower(F.regexp_extract(F.coalesce(env, F.lit("")), r"^([A-Za-z]*)", 1))
     return F.when(first == "en", "en").otherwise("ja")
+
+
+def combine_lines(regions: DataFrame, most: float = 10.0) -> DataFrame:
+    """regions(page, seq, y, text), by seq (ties by y, text) -> page, text: regions within `most` of their line's first join by two spaces, lines by a blank line."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "y", "text")))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = F.abs(x["y"] - acc["y"]) <= most
+        return F.struct(F.when(same, acc["y"]).otherwise(x["y"]).alias("y"), F.concat(acc["text"], F.when(same, "  ").otherwise("\n\n"), x["text"]).alias("text"))
+
+    found = regions.groupBy("page").agg(parts.alias("parts"))
+    first = F.struct(F.col("parts")[0]["y"].alias("y"), F.col("parts")[0]["text"].alias("text"))
+    return found.select("page", F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), first, step)["text"].alias("text"))

@@ -132,3 +132,12 @@ LOCALE = "CASE n_nationkey % 7 WHEN 0 THEN 'en_US.UTF-8' WHEN 1 THEN 'C' WHEN 2
 @query(f"SELECT n_nationkey, CASE WHEN lower(regexp_extract(coalesce({LOCALE}, ''), '^[A-Za-z]*')) = 'en' THEN 'en' ELSE 'ja' END AS lang FROM nation")
 def label_language(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", B.language_of(F.expr(LOCALE)).alias("lang"))
+
+
+READ = "l_orderkey AS page, l_linenumber * 1000000 + l_partkey AS seq, CAST(l_suppkey % 10 * 6 AS double) AS y, l_returnflag || l_linenumber AS text"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT {READ} FROM lineitem), p AS (SELECT page, list({{'y': y, 'text': text}} ORDER BY seq, y, text) AS parts FROM r GROUP BY page)
+SELECT page, list_reduce(parts, lambda a, b: CASE WHEN abs(b.y - a.y) <= 10 THEN {{'y': a.y, 'text': a.text || '  ' || b.text}} ELSE {{'y': b.y, 'text': a.text || chr(10) || chr(10) || b.text}} END).text AS text FROM p""")
+def ocr_line_combine(spark, sf_dir):
+    return B.combine_lines(table(spark, sf_dir, "lineitem").selectExpr(*READ.split(", ")).distinct())
