@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash_gph.keep_one(docs)
+    """One document of each group of near-duplicates stays: five-word shingles of similarity 0.8 or more."""
+    return simhash_gph.keep_one_similar(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ group of identical texts is one node. Nothing but 65 x 64 bit counts reaches
 the driver. Hot join keys are left to AQE's skew split: both sides of each join
 are plain exchanges.
 
+keep_one_similar() is the pipeline's rule: 5-word shingles, a radius that reaches
+Jaccard 0.8, and every link verified on the shingle sets.
+
 Nulls and odd cases: null text counts as empty; no words give fingerprint zero,
 which links as any other; fewer than three words hash the whole sequence;
 repeated rows are kept; null doc_ids are ignored when a component is named (a
@@ -28,7 +31,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialise, require, small_batches
@@ -121,8 +124,8 @@ def within(p: np.ndarray, most: int) -> list[float]:
     return list(np.cumsum(dist[: most + 1]))
 
 
-def allocate(n: int, both: np.ndarray, radius: int = 3, most_parts: int = 6) -> list[tuple[list[int], int]]:
-    """Partitions with thresholds, at the least sum of probe rows and expected candidates."""
+def allocate(n: int, both: np.ndarray, radius: int = 3, most_parts: int = 6, met: float = 1.0) -> list[tuple[list[int], int]]:
+    """Partitions with thresholds, at the least sum of probe rows and expected candidates; met: share of all pairs that meet by their other keys."""
     n = max(n, 1)  # an empty table too gets the plan of fewest probes
     p = np.diag(both) / n
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
@@ -137,7 +140,7 @@ def allocate(n: int, both: np.ndarray, radius: int = 3, most_parts: int = 6) ->
             for used, (cost, ts) in states.items():
                 for t in range(-1, radius + 1):
                     probes = sum(comb(len(g), i) for i in range(t + 1))
-                    more = cost + (0 if t < 0 else n * (1 + probes) + n * n / 2 * chance[t])
+                    more = cost + (0 if t < 0 else n * (1 + probes) + met * n * n / 2 * chance[t])
                     if used + t not in after or more < after[used + t][0]:
                         after[used + t] = (more, [*ts, t])
             states = after
@@ -233,6 +236,122 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     return rows.join(winners.hint("merge"), rows.rid == winners.keep, "left_semi").select("row.*")
 
 
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles; of the whole sequence where it is shorter; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], np.uint64))
+
+
+def size_class(n: int, similarity: float) -> int:
+    """Sets that are `similarity` alike are in the same class or in neighbouring ones."""
+    return int(np.floor(np.log(n) / -np.log(similarity) + 1e-9)) if n else -1
+
+
+def similar_candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(a, b, bits) once per pair of nodes within `radius` bits whose sizes allow the similarity. nodes: (node, fp, size, class), distinct nodes.
+
+    The pigeonhole of links(), with the class of size as one more key: a probe looks in its own class and the one below.
+    """
+    counts = {r["class"]: r.n for r in nodes.groupBy("class").agg(F.count("*").alias("n")).collect()}  # a class for each fifth of growth: a hundred at most
+    total = max(sum(counts.values()), 1)
+    met = sum(c * (c + 2 * counts.get(k - 1, 0)) for k, c in counts.items()) / total**2
+    plan = allocate(*bit_counts(nodes), radius, most_parts=10, met=met)
+    fp = F.col("fp")
+
+    def place(k: int, key: Column) -> Column:
+        return F.struct(F.lit(k).cast("tinyint").alias("part"), key.alias("key"))
+
+    def ball(k: int, key: Column, group: list[int], t: int) -> Column:
+        flips = F.array(*[F.lit(_signed(sum(1 << b for b in c))).cast("long") for i in range(t + 1) for c in combinations(group, i)])
+        return F.transform(flips, lambda x: place(k, key.bitwiseXOR(x)))
+
+    keys = [fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in group)))) for group, _ in plan]
+    index = [place(k, key) for k, key in enumerate(keys)]
+    probe = [ball(k, key, *plan[k]) for k, key in enumerate(keys)]
+    a = nodes.select(F.col("node").alias("a"), fp.alias("fp_a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"), F.explode(F.array(*index)).alias("i")).select("a", "fp_a", "size_a", "class_a", "i.part", "i.key")
+    b = nodes.select(F.col("node").alias("b"), fp.alias("fp_b"), F.col("size").alias("size_b"), F.col("class").alias("own"), F.explode(F.concat(*probe)).alias("i"))
+    b = b.select("b", "fp_b", "size_b", F.col("i.part").alias("part_b"), F.col("i.key").alias("key_b"), F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("class_b"))
+    bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
+    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    same_key = (F.col("part") == F.col("part_b")) & (F.col("key") == F.col("key_b")) & (F.col("class_a") == F.col("class_b"))
+    joined = a.join(b, same_key & smaller & (F.col("size_a") >= F.lit(similarity) * F.col("size_b")) & (bits <= radius))
+    return joined.select("a", "b", bits.alias("bits")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The (a, b) of pairs whose shingle sets have Jaccard `similarity` or more. texts: (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = shingle_set(x, width), shingle_set(y, width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ta, tb = texts.toDF("node_a", "text_a"), texts.toDF("node_b", "text_b")
+    sides = pairs.select("a", "b").join(ta, F.col("a") == F.col("node_a")).join(tb, F.col("b") == F.col("node_b"))
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 14, width: int = 5, rounds: int = 2) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one of the least id (null last), the first of repeated rows.
+
+    Two texts link where their sets of `width`-word shingles have Jaccard `similarity` or more, looked up by fingerprints within `radius` bits;
+    groups are the components of links. A node is a distinct shingle set. In each of `rounds` rounds a node is held against its nearest candidate,
+    and pairs of one component need no look any more, so that a large group costs few comparisons; whatever is left is compared pair by pair.
+    """
+    require(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            fps, nodes, sizes, classes = [], [], [], []
+            for t in batch.column(0).field(text_col).to_pylist():
+                own = shingle_set(t, width)
+                fps.append(fingerprint_bytes(t, width))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                classes.append(size_class(len(own), similarity))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(classes, pa.int32())], names=["row", "fp", "node", "size", "class"])
+
+    marked = docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, fp long, node long, size int, class int").withColumn("rid", F.monotonically_increasing_id())
+    rows = materialise(marked, "fingerprints")
+    own = F.col("row").getField(id_col)
+    first = F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid"))).alias("first")
+    # texts of one set may repeat its shingles and so differ in fingerprint: any will do, the least is the same on every run
+    nodes = materialise(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("class").alias("class"), first), "nodes", narrow=True)
+    todo = materialise(similar_candidates(nodes.where("size > 0"), similarity, radius), "candidates", narrow=True)
+    ends = todo.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    wanted = nodes.join(ends, nodes.node == ends.end, "left_semi").select("first.rid")
+    texts = materialise(rows.join(wanted.withColumnRenamed("rid", "wanted").hint("merge"), F.col("rid") == F.col("wanted"), "left_semi").select("node", F.col("row").getField(text_col).alias("text")), "candidate-texts")
+    linked, roots = None, None
+    for k in range(rounds + 1):
+        if k < rounds:
+            ways = todo.select(F.col("a").alias("u"), F.col("b").alias("v"), "bits", "a", "b").union(todo.select(F.col("b"), F.col("a"), "bits", "a", "b"))
+            picked = ways.groupBy("u").agg(F.min(F.struct("bits", "v", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        else:
+            picked = todo
+        got = materialise(verified(picked, texts, similarity, width), "verified", narrow=True)
+        linked = got if linked is None else linked.union(got)
+        roots = components(linked)
+        if k < rounds:
+            done, one, two = picked.toDF("done_a", "done_b"), roots.toDF("node_a", "root_a"), roots.toDF("node_b", "root_b")
+            left = todo.join(done, (F.col("a") == F.col("done_a")) & (F.col("b") == F.col("done_b")), "left_anti")
+            left = left.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+            todo = materialise(left.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "bits"), "candidates", narrow=True)
+            if todo.isEmpty():
+                break
+    named = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "first")
+    winners = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep"))
+    return rows.join(winners.hint("merge"), rows.rid == winners.keep, "left_semi").select("row.*")
+
+
 def op10(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -326,3 +326,36 @@ def test_components(spark):
         up[b] = a
     got = {r.node: r.root for r in simhash_gph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == find(x) for x in up)
+
+
+def test_near_copies_of_the_stage(spark):
+    random.seed(11)
+    made = []
+    for k in range(40):
+        base = [f"w{random.randrange(2000)}" for _ in range(random.choice([4, 30, 120, 300]))]
+        made.append(base)
+        for _ in range(3):  # from nearly the same to quite different
+            near = list(base)
+            for i in random.sample(range(len(near)), min(len(near), random.choice([1, 2, 3, 8]))):
+                near[i] = f"x{random.randrange(2000)}"
+            made.append(near)
+    made += [["same"] * 50 + ["end"], ["same"] * 50 + ["other", "end"], []]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in made]
+    up = list(range(len(made)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    n = 0
+    for a, b in itertools.combinations(range(len(made)), 2):
+        if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+            n += 1
+    assert n > 20  # pairs, most of them beyond three bits
+    got = {r.doc_id for r in simhash_gph.keep_one_similar(docs, radius=24).collect()}
+    assert got == {i for i in range(len(made)) if find(i) == i}  # radius wide enough for every pair
+    assert len({r.doc_id for r in simhash_gph.keep_one_similar(docs).collect()} - got) <= 0.05 * n  # recall of the default
