@@ -5,8 +5,11 @@ are hashed on both sides and joined on the hash. Matched windows of a document
 and an item bring the values of their slots: where every value of the item
 stands for one value of the document, throughout, the document re-states the
 item with other parameters; where they scatter, the match is a coincidence.
-A document is contaminated by an item if consistent windows cover `cover` of
-the item's windows or more.
+Hits are judged by occurrence: those of one document, item and alignment
+(position in the document less position in the item, a few words of slack). A
+document is contaminated by an item if the windows of one occurrence cover
+`cover` of the item's windows or more and are consistent, or if a run of
+`verbatim` of them or more is written as in the item.
 
 Scale: documents' windows pass a fixed-size bitmap of the item windows' hashes
 (8 MB at most, built by aggregation) inside the scan, so only windows that can
@@ -30,11 +33,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialise, require, small_batches
 
 WINDOW, LEAST, LITERALS = 6, 4, 3
+#: Words that may be put in or left out between two hits of one occurrence.
+SLACK = 3
 MAP_BITS = 26
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|_`~“”‘’«»…–—"
 NUMBER = re.compile(r"[+\-−]?[$€£¥]?[0-9][0-9.,:/]*(?:e[+\-]?[0-9]+)?[%°]?(?:st|nd|rd|th)?")
@@ -146,12 +152,12 @@ def _slots(kind: np.ndarray, words: list[str], at: int, width: int) -> list[str]
     return [words[i].strip(STRIP).lower() for i in range(at, at + width) if kind[i] != PLAIN]
 
 
-_SCHEMA = "id {id}, window long, slots array<string>, at int"
+_SCHEMA = "id {id}, text_key long, window long, slots array<string>, at int"
 
 
 def _rows(ids: list, texts: list, kind_of: pa.DataType, widths: list[int] | None, bits: np.ndarray | None):
     """Windows of texts: all (widths None: items), or those whose bit is set."""
-    out_id, out_w, out_s, out_a = [], [], [], []
+    out_id, out_k, out_w, out_s, out_a = [], [], [], [], []
     for key, text in zip(ids, texts, strict=True):
         h, kind, words = template(text or "")
         for width in [min(WINDOW, len(h))] if widths is None else widths:
@@ -161,12 +167,15 @@ def _rows(ids: list, texts: list, kind_of: pa.DataType, widths: list[int] | None
             if bits is not None:
                 cell = (w >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                 good &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            for at in np.flatnonzero(good).tolist():
+            hits = np.flatnonzero(good).tolist()
+            own = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 12) >> 1 if hits else 0
+            for at in hits:
                 out_id.append(key)
+                out_k.append(own)
                 out_w.append(int(w[at]) - (1 << 64) if int(w[at]) >> 63 else int(w[at]))
                 out_s.append(_slots(kind, words, at, width))
                 out_a.append(at)
-    return pa.RecordBatch.from_arrays([pa.array(out_id, kind_of), pa.array(out_w, pa.int64()), pa.array(out_s, pa.list_(pa.string())), pa.array(out_a, pa.int32())], names=["id", "window", "slots", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(out_id, kind_of), pa.array(out_k, pa.int64()), pa.array(out_w, pa.int64()), pa.array(out_s, pa.list_(pa.string())), pa.array(out_a, pa.int32())], names=["id", "text_key", "window", "slots", "at"])
 
 
 def item_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -192,8 +201,8 @@ def bitmap(items: DataFrame) -> bytes:
 _maps: dict[str, np.ndarray] = {}
 
 
-def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = 0.3, agree: float = 0.8) -> DataFrame:
-    """One row per (document id, item): doc_id, item_id, n_windows of the item, n_matched, coverage, slot_agreement, contaminated."""
+def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = 0.3, agree: float = 0.8, verbatim: float = 0.5) -> DataFrame:
+    """One row per (document id, item): doc_id, item_id, n_windows of the item, n_matched, coverage, slot_agreement, contaminated: of the occurrence that says most."""
     require(docs, id_col, text_col)
     require(bench, "item_id", "text")
     spark = docs.sparkSession
@@ -220,27 +229,40 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
             yield _rows(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(0).type, widths, _maps[key])
 
     found = materialise(chosen.mapInArrow(run, _SCHEMA.format(id=chosen.schema["id"].dataType.simpleString())), "doc-windows")
-    d = found.select(F.col("id").alias("doc_id"), F.col("window").alias("w"), F.col("slots").alias("d_slots"))
-    i = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("i_slots"))
-    hits = d.join(i, d.w == i.window).select("doc_id", "item_id", "w", "d_slots", "i_slots")
-    keys = ["doc_id", "item_id"]
-    # each slot value of the item with each value it stands for in the document
-    pairs = hits.select(*keys, F.explode(F.arrays_zip("i_slots", "d_slots")).alias("p")).select(*keys, F.col("p.i_slots").alias("i"), F.col("p.d_slots").alias("d")).distinct()
-    slots = pairs.groupBy(*keys).agg(F.countDistinct("i").alias("n_values"), F.count("*").alias("n_pairs"))
-    cover_of = hits.select(*keys, "w").distinct().groupBy(*keys).agg(F.count("*").alias("n_matched"))
+    d = found.select(F.col("id").alias("doc_id"), "text_key", F.col("window").alias("w"), F.col("slots").alias("d_slots"), F.col("at").alias("d_at"))
+    nth = F.row_number().over(W.partitionBy("id", "text_key").orderBy("at"))
+    i = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("i_slots"), F.col("at").alias("i_at"), nth.alias("nth"))
+    hits = d.join(i, d.w == i.window).select("doc_id", "text_key", "item_id", "w", "d_slots", "i_slots", "nth", (F.col("d_at") - F.col("i_at")).alias("shift")).distinct()
+    near = W.partitionBy("doc_id", "text_key", "item_id").orderBy("shift")
+    # an occurrence: hits whose alignments follow each other at SLACK words or less
+    fresh = F.coalesce((F.col("shift") - F.lag("shift").over(near) > SLACK).cast("int"), F.lit(0))
+    hits = hits.withColumn("fresh", fresh).withColumn("place", F.sum("fresh").over(near.rangeBetween(W.unboundedPreceding, 0)))
+    own, keys = ["doc_id", "text_key", "item_id", "place"], ["doc_id", "item_id"]
+    # windows written as in the item, one after the other
+    hits = hits.withColumn("verbatim", F.col("i_slots") == F.col("d_slots"))
+    aligned = W.partitionBy(*own, "shift", "verbatim")
+    hits = hits.withColumn("run", F.col("nth") - F.dense_rank().over(aligned.orderBy("nth")))
+    hits = hits.withColumn("run", F.count("*").over(W.partitionBy(*own, "shift", "verbatim", "run")))
+    # each slot value of the item with each value it stands for in the occurrence
+    slots = F.explode_outer(F.arrays_zip("i_slots", "d_slots"))
+    pairs = hits.select(*own, "w", F.when(F.col("verbatim"), F.col("run")).otherwise(0).alias("run"), slots.alias("p"))
+    pair = F.struct(F.col("p.i_slots").alias("i"), F.col("p.d_slots").alias("d"))
+    some = F.col("p").isNotNull()
+    occurrences = pairs.groupBy(*own).agg(
+        F.count_distinct("w").alias("n_matched"),
+        F.max("run").alias("longest"),
+        F.count_distinct(F.when(some, F.col("p.i_slots"))).alias("n_values"),
+        F.count_distinct(F.when(some, pair)).alias("n_pairs"),
+    )
     per_item = items.groupBy("id").agg(F.countDistinct("window").alias("n_windows"))
-    joined = (
-        cover_of.join(slots.select(F.col("doc_id").alias("d2"), F.col("item_id").alias("i2"), "n_values", "n_pairs"), F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("item_id").eqNullSafe(F.col("i2")), "left")
-        .join(per_item, F.col("item_id").eqNullSafe(F.col("id")))
-        .select(
-            *keys,
-            "n_windows",
-            "n_matched",
-            (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-            F.coalesce(F.col("n_values") / F.col("n_pairs"), F.lit(1.0)).alias("slot_agreement"),
-        )
+    agreed = F.when(F.col("n_pairs") > 0, F.col("n_values") / F.col("n_pairs")).otherwise(1.0)
+    judged = occurrences.join(per_item, F.col("item_id").eqNullSafe(F.col("id"))).select(
+        *keys, "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), agreed.alias("slot_agreement"), (F.col("longest") / F.col("n_windows")).alias("verbatim")
     )
-    return joined.withColumn("contaminated", (F.col("coverage") >= cover) & (F.col("slot_agreement") >= agree))
+    # a verbatim run passes by itself
+    judged = judged.withColumn("contaminated", ((F.col("coverage") >= cover) & (F.col("slot_agreement") >= agree)) | (F.col("verbatim") >= verbatim))
+    best = F.max(F.struct("contaminated", "coverage", "slot_agreement", "n_matched", "n_windows")).alias("o")
+    return judged.groupBy(*keys).agg(best).select(*keys, "o.n_windows", "o.n_matched", "o.coverage", "o.slot_agreement", "o.contaminated")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:

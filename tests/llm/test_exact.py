@@ -143,6 +143,17 @@ def test_slots_must_agree(spark):
     assert found.slot_agreement < 1 and not found.contaminated
 
 
+def test_occurrences_are_judged_apart(spark):
+    item = "A train leaves Boston at 60 km and meets the slow train after 3 hours on the long northern line."
+    other = item.replace("60", "75").replace("3 hours", "8 hours").replace("Boston", "Madrid")
+    third = item.replace("60", "90").replace("3 hours", "4 hours").replace("Boston", "Lisbon")
+    far = " and then nothing more of that kind was said for quite a while "
+    texts = [item + far + other, other + far + third, other + far + item + far + third, far]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.matches(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.contaminated) for r in found.collect()} == {(0, True), (1, True), (2, True)}
+
+
 def test_planted_passages(spark, small):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: [w.strip(decontaminate.STRIP).lower() for w in t.split()]
