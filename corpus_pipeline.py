@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text."""
-    cleaned = line_spread.remove_boilerplate(docs)
+    """Boilerplate lines go, whatever their share of the text; n_chars follows the text."""
+    cleaned = line_spread.remove_boilerplate(docs, max_removed=None)
     columns = [F.col("text") if c == "text" else F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return cleaned.select(*columns)
 

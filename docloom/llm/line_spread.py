@@ -7,7 +7,9 @@ gets an exact distinct count. Boilerplate lines are removed from every text.
 
 A text of which more than `max_removed` of the non-blank characters would go
 stays whole: it is a copy of a whole document, which near-dedup looks after,
-or a page of nothing else.
+or a page of nothing else. With `max_removed` None, the pipeline's rule, every
+boilerplate line goes, and only a text of such lines alone that is on another
+site as well, sign for sign, stays whole.
 
 Scale: lines are 128-bit hashes, combined map-side, so a line that is on a
 third of all documents is one row per task. Removed positions are worked out
@@ -59,25 +61,27 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, text_col: str = "text", si
     return spread.where(sure).select("h1", "h2").union(exact.select("h1", "h2"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_removed: float = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_removed: float | None = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """(row struct of docs' columns, text, n_lines, n_removed), one row per row of docs."""
     bad = boilerplate(docs, min_sites, text_col, site_col)
     text = F.col(text_col)
-    lines = docs.select(*[k.alias(n) for k, n in zip(_key(text), ("t1", "t2"), strict=True)], F.posexplode(lines_of(text)).alias("at", "line")).where("line <> ''")
-    hashed = lines.select("t1", "t2", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n"))
+    lines = docs.select(*[k.alias(n) for k, n in zip(_key(text), ("t1", "t2"), strict=True)], F.xxhash64(site).alias("site"), F.posexplode(lines_of(text)).alias("at", "line")).where("line <> ''")
+    hashed = lines.select("t1", "t2", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
     b = bad.toDF("b1", "b2")
-    hits = hashed.join(b, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi").select("t1", "t2", "at")
+    hits = hashed.join(b, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi").select("t1", "t2", "site", "at")
     # copies of one text bring the same positions; collect_set keeps as many as the text has lines
-    per_text = materialise(hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("at")).toDF("r1", "r2", "at"), "removed-lines")
+    per_text = materialise(hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("at"), (F.min("site") < F.max("site")).alias("copied")).toDF("r1", "r2", "at", "copied"), "removed-lines")
     rows = docs.select(F.struct("*").alias("row"), *[k.alias(n) for k, n in zip(_key(text), ("t1", "t2"), strict=True)])
     joined = rows.join(per_text, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left")
     own = F.col("row").getField(text_col)
     split = F.split(own, "\n", -1)
     kept = F.when(F.col("at").isNull(), own).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("at"), i)), "\n"))
-    some = joined.select("row", "at", own.alias("own"), kept.alias("kept"))
+    some = joined.select("row", "at", "copied", own.alias("own"), kept.alias("kept"))
     # lengths without white space, so that blank text never tips the scale
     letters = lambda c: F.length(F.translate(c, BLANK, ""))
-    whole = F.col("at").isNull() | (letters(F.col("own")) - letters(F.col("kept")) > max_removed * letters(F.col("own")))
+    stays = (letters(F.col("kept")) == 0) & F.col("copied") if max_removed is None else letters(F.col("own")) - letters(F.col("kept")) > max_removed * letters(F.col("own"))
+    whole = F.col("at").isNull() | stays
     n_lines = F.coalesce(F.size(F.filter(lines_of(F.col("own")), lambda x: x != "")), F.lit(0))
     return some.select(
         "row",

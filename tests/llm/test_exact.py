@@ -265,6 +265,15 @@ def test_lines(spark, odd_docs):
     assert got[103].n_removed == 0 and got[205].text == "a whole copy\nof a document"
 
 
+def test_lines_of_short_texts(spark):
+    licence = "a long licence line that is on every site there is and says nothing of the text"
+    rows = [(i, f"own {i}\n{licence}", f"site{i}") for i in range(12)] + [(50, licence, "site1"), (51, f"{licence}\n\n{licence}", None)]
+    rows += [(200 + i, "a whole copy\nof a document", f"site{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.row.doc_id: (r.text, r.n_removed) for r in line_spread.remove_boilerplate(docs, max_removed=None).collect()}
+    assert got == {i: (f"own {i}", 1) for i in range(12)} | {50: ("", 1), 51: ("", 2)} | {200 + i: ("a whole copy\nof a document", 0) for i in range(12)}
+
+
 # -- 10 -----------------------------------------------------------------------
 
 
