@@ -112,10 +112,14 @@ def blocks(html: str | None) -> list[Block]:
             break
         m = TAG.match(html, lt) or LOOSE.match(html, lt)
         if not m:
-            # a bare "<", or a tag that never ends
-            nxt = html[lt + 1 : lt + 2]
-            if nxt.isalpha() or nxt in ("/", "!", "?"):
-                break
+            # a tag or comment that never ends, a bogus comment ("</" and no letter), or a bare "<"
+            nxt, after = html[lt + 1 : lt + 2], html[lt + 2 : lt + 3]
+            if nxt in ("!", "?") or nxt.isascii() and nxt.isalpha() or nxt == "/" and after:
+                gt = html.find(">", lt + 2)
+                if gt < 0:
+                    break
+                at = gt + 1
+                continue
             if not stack[-1][2]:
                 parts.append("<")
             at = lt + 1

@@ -43,6 +43,12 @@ def test_odd_pages(html, text):
     assert (html_extract.text_of(found, path) if path is not None else "") == text
 
 
+@pytest.mark.parametrize(("html", "text"), [("<p>I </3 you> all</p><p>b", "I all b"), ("<p>a</ p>b</p><p>c", "ab c"), ("<p>a</>b<p>c", "ab c"), ("<p>x <é y</p><p>z", "x <é y z"), ("<p><中文> t</p><p>z", "<中文> t z"), ("<p>a</3 b", "a"), ("<p>a</", "a</"), ("<p>a <b", "a")])
+def test_signs_that_open_no_tag(html, text):
+    found = html_extract.blocks(html)
+    assert html_extract.text_of(found, ()) == text
+
+
 def test_host_consensus(spark):
     body = "<html><body><div class='x'>{}</div><div class='y'>{}</div></body></html>"
     long, short = "<p>" + "many words in the main text of this page " * 4 + "</p>", "<p>short text of the page</p>"
