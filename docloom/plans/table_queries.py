@@ -67,11 +67,9 @@ r AS (SELECT sheet, row, '| ' || string_agg(text, ' | ' ORDER BY col) || ' |' AS
 f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY row) AS k FROM (SELECT *, lag(line) OVER (PARTITION BY sheet ORDER BY row) AS before FROM r) WHERE before IS NULL OR before <> line)
 SELECT sheet, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '|' || repeat(' --- |', n::int) ELSE line END, chr(10) ORDER BY row) AS md FROM f GROUP BY sheet""")
 def table_without_header(spark, sf_dir):
-    return B.headless_tables(table(spark, sf_dir, "orders").where("o_orderkey % 200 div 8 < 12").selectExpr(*CELLS))
+    return B.headless_tables(table(spark, sf_dir, "orders").selectExpr(*CELLS))
 
 
-ORACLES["table_without_header"] = ORACLES["table_without_header"].replace("FROM orders)", "FROM orders WHERE o_orderkey % 200 // 8 < 12)", 1)
-
 BLOCKS = (
     "user_id AS page", "event_id AS seq", "CAST(event_id % 9 * 8 AS double) AS x", "CAST(event_id div 3 % 1000 * 25 + event_id % 3 * 10 AS double) AS y",
     "CASE event_id % 7 WHEN 0 THEN 'list_item' WHEN 1 THEN 'list_item' WHEN 2 THEN 'heading' ELSE 'paragraph' END AS kind", "event_type || event_id % 11 AS text",
