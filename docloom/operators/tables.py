@@ -67,11 +67,12 @@ def trim_regions(cells: DataFrame, marks: str = "※|注意|注記|備考|説明
 
 def headless_tables(cells: DataFrame, least: int = 2) -> DataFrame:
     """cells(sheet, row, col, value), a cell each -> sheet, md: columns with data (`least` or more), in order; rows without data and rows equal to the one before go."""
-    text = F.coalesce(F.trim("value"), F.lit(""))
     whole = W.partitionBy("sheet")
-    kept = cells.withColumn("text", text).withColumn("any", F.max(F.length("text")).over(W.partitionBy("sheet", "col"))).where("any > 0")
-    rows = kept.groupBy("sheet", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]).alias("cells"))
-    rows = rows.where(F.exists("cells", lambda x: x != "") & (F.size("cells") >= least))
+    text = F.when(~is_blank(F.col("value")), F.trim("value"))
+    columns = cells.where(text.isNotNull()).groupBy("sheet").agg(F.array_sort(F.collect_set("col")).alias("cols")).withColumnRenamed("sheet", "of")
+    rows = cells.where(text.isNotNull()).groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("text")))).alias("at"))
+    # a cell that is not there at all is an empty one, wherever it is missing
+    rows = rows.join(columns, F.col("sheet") == F.col("of")).where(F.size("cols") >= least).select("sheet", "row", F.transform("cols", lambda c: F.coalesce(F.try_element_at("at", c), F.lit(""))).alias("cells"))
     fresh = rows.withColumn("before", F.lag("cells").over(whole.orderBy("row"))).where("before IS NULL OR before <> cells")
     table = F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda s: F.transform(s["cells"], cell_escape))
     return fresh.groupBy("sheet").agg(markdown_table(table).alias("md"))

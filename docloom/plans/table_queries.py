@@ -62,8 +62,8 @@ def annotation_trim(spark, sf_dir):
     return B.trim_regions(table(spark, sf_dir, "orders").selectExpr(*NOTES))
 
 
-@query(f"""WITH {SQL_CELLS}, t AS (SELECT sheet, row, col, coalesce(trim(value), '') AS text FROM cells), a AS (SELECT *, max(length(text)) OVER (PARTITION BY sheet, col) AS longest FROM t),
-r AS (SELECT sheet, row, '| ' || string_agg(text, ' | ' ORDER BY col) || ' |' AS line, count(*) AS n FROM a WHERE longest > 0 GROUP BY sheet, row HAVING max(length(text)) > 0 AND count(*) >= 2),
+@query(f"""WITH {SQL_CELLS}, t AS (SELECT sheet, row, col, trim(value) AS text FROM cells WHERE {FULL}), g AS (SELECT sheet, row, col FROM (SELECT DISTINCT sheet, row FROM t) JOIN (SELECT DISTINCT sheet, col FROM t) USING (sheet)),
+r AS (SELECT sheet, row, '| ' || string_agg(coalesce(text, ''), ' | ' ORDER BY col) || ' |' AS line, count(*) AS n FROM g LEFT JOIN t USING (sheet, row, col) GROUP BY sheet, row HAVING count(*) >= 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY row) AS k FROM (SELECT *, lag(line) OVER (PARTITION BY sheet ORDER BY row) AS before FROM r) WHERE before IS NULL OR before <> line)
 SELECT sheet, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '|' || repeat(' --- |', n::int) ELSE line END, chr(10) ORDER BY row) AS md FROM f GROUP BY sheet""")
 def table_without_header(spark, sf_dir):
