@@ -5,11 +5,9 @@ merge by aggregation. A line whose estimate is clearly at or over `min_sites`
 is boilerplate, clearly below is not, and one inside the sketch's error band
 gets an exact distinct count. Boilerplate lines are removed from every text.
 
-A text of which more than `max_removed` of the non-blank characters would go
-stays whole: it is a copy of a whole document, which near-dedup looks after,
-or a page of nothing else. With `max_removed` None, the pipeline's rule, every
-boilerplate line goes, and only a text of such lines alone that is on another
-site as well, sign for sign, stays whole.
+Every boilerplate line goes, whatever its share of the text. Only a text of such
+lines alone that is on another site as well, sign for sign, stays whole: it is a
+copy of a document, which near-dedup looks after, and not a page with furniture.
 
 Scale: lines are 128-bit hashes, combined map-side, so a line that is on a
 third of all documents is one row per task. Removed positions are worked out
@@ -61,7 +59,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, text_col: str = "text", si
     return spread.where(sure).select("h1", "h2").union(exact.select("h1", "h2"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_removed: float | None = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """(row struct of docs' columns, text, n_lines, n_removed), one row per row of docs."""
     bad = boilerplate(docs, min_sites, text_col, site_col)
     text = F.col(text_col)
@@ -71,23 +69,22 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_removed: float
     b = bad.toDF("b1", "b2")
     hits = hashed.join(b, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi").select("t1", "t2", "site", "at")
     # copies of one text bring the same positions; collect_set keeps as many as the text has lines
-    per_text = materialise(hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("at"), (F.min("site") < F.max("site")).alias("copied")).toDF("r1", "r2", "at", "copied"), "removed-lines")
+    per_text = hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("at"), (F.min("site") < F.max("site")).alias("copied")).toDF("r1", "r2", "at", "copied")
+    # a flag for each line up to the last one removed, so that a look at one costs the same however many there are
+    gap = lambda x, i: F.concat(F.array_repeat(F.lit(False), F.when(i == 0, x).otherwise(x - F.get("at", i - 1) - 1)), F.array(F.lit(True)))
+    per_text = materialise(per_text.select("r1", "r2", "copied", F.size("at").alias("n_bad"), F.flatten(F.transform("at", gap)).alias("bad")), "removed-lines")
     rows = docs.select(F.struct("*").alias("row"), *[k.alias(n) for k, n in zip(_key(text), ("t1", "t2"), strict=True)])
     joined = rows.join(per_text, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left")
     own = F.col("row").getField(text_col)
-    split = F.split(own, "\n", -1)
-    kept = F.when(F.col("at").isNull(), own).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("at"), i)), "\n"))
-    some = joined.select("row", "at", "copied", own.alias("own"), kept.alias("kept"))
-    # lengths without white space, so that blank text never tips the scale
-    letters = lambda c: F.length(F.translate(c, BLANK, ""))
-    stays = (letters(F.col("kept")) == 0) & F.col("copied") if max_removed is None else letters(F.col("own")) - letters(F.col("kept")) > max_removed * letters(F.col("own"))
-    whole = F.col("at").isNull() | stays
-    n_lines = F.coalesce(F.size(F.filter(lines_of(F.col("own")), lambda x: x != "")), F.lit(0))
+    good = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.coalesce(F.get("bad", i), F.lit(False)))
+    some = joined.select("row", "n_bad", "copied", own.alias("own"), F.when(F.col("bad").isNull(), own).otherwise(F.array_join(good, "\n")).alias("kept"))
+    whole = F.col("n_bad").isNull() | (F.col("copied") & (F.btrim("kept", F.lit(BLANK)) == ""))
+    n_lines = F.size(F.filter(lines_of(F.col("own")), lambda x: x != ""))
     return some.select(
         "row",
         F.when(whole, F.col("own")).otherwise(F.col("kept")).alias("text"),
         F.when(F.col("own").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.size("at")).cast("long").alias("n_removed"),
+        F.when(whole, 0).otherwise(F.col("n_bad")).cast("long").alias("n_removed"),
     )
 
 
@@ -106,10 +103,8 @@ q AS (SELECT k, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr
 g AS (SELECT k, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b IS NULL) AS kept,
              count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE b IS NOT NULL) AS n_removed
       FROM (SELECT q.*, b.line AS b FROM q LEFT JOIN b ON q.t = b.line) z GROUP BY k),
-s AS (SELECT d.doc_id, d.text, coalesce(g.kept, '') AS kept, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
-             length(translate(d.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS a,
-             length(translate(coalesce(g.kept, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS c
-      FROM d LEFT JOIN g USING (k))
-SELECT doc_id, n_lines, CASE WHEN n_removed = 0 OR a - c > 0.5 * a THEN 0 ELSE n_removed END AS n_removed,
-       CASE WHEN n_removed = 0 OR a - c > 0.5 * a THEN text ELSE kept END AS text FROM s
+c AS (SELECT text, count(DISTINCT coalesce('s' || source, 'n')) > 1 AS copied FROM documents GROUP BY text),
+s AS (SELECT d.doc_id, d.text, coalesce(g.kept, '') AS kept, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, copied AND trim(coalesce(g.kept, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' AS whole
+      FROM d LEFT JOIN g USING (k) LEFT JOIN c ON d.text IS NOT DISTINCT FROM c.text)
+SELECT doc_id, n_lines, CASE WHEN n_removed = 0 OR whole THEN 0 ELSE n_removed END AS n_removed, CASE WHEN n_removed = 0 OR whole THEN text ELSE kept END AS text FROM s
 """

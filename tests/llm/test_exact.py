@@ -276,10 +276,38 @@ def test_lines_of_short_texts(spark):
     rows = [(i, f"own {i}\n{licence}", f"site{i}") for i in range(12)] + [(50, licence, "site1"), (51, f"{licence}\n\n{licence}", None)]
     rows += [(200 + i, "a whole copy\nof a document", f"site{i}") for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.row.doc_id: (r.text, r.n_removed) for r in line_spread.remove_boilerplate(docs, max_removed=None).collect()}
+    got = {r.row.doc_id: (r.text, r.n_removed) for r in line_spread.remove_boilerplate(docs).collect()}
     assert got == {i: (f"own {i}", 1) for i in range(12)} | {50: ("", 1), 51: ("", 2)} | {200 + i: ("a whole copy\nof a document", 0) for i in range(12)}
 
 
+def test_lines_against_brute_force(spark, odd_docs):
+    rng = random.Random(9)
+    pool = [f"line number {i}" if i % 7 else " \t" for i in range(60)]
+    texts = ["\n".join(rng.choices(pool, weights=[1 / (1 + i) for i in range(60)], k=rng.randrange(12))) for _ in range(300)]
+    rows = [(i, t if i % 50 else None, f"s{rng.randrange(18)}" if i % 31 else None) for i, t in enumerate(texts + texts[:60])]
+    rows += [(r.doc_id, r.text, r.source) for r in odd_docs.collect()]
+    sites, homes = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        homes[t].add(s)
+        for x in (t or "").split("\n"):
+            sites[x.strip(line_spread.BLANK)].add(s)
+    want = Counter()
+    for i, t, _ in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not x.strip(line_spread.BLANK) or len(sites[x.strip(line_spread.BLANK)]) < 10]
+        whole = not "".join(kept).strip(line_spread.BLANK) and len(homes[t]) > 1
+        want[i, sum(bool(x.strip(line_spread.BLANK)) for x in lines), 0 if whole else len(lines) - len(kept), t if whole or t is None else "\n".join(kept)] += 1
+    got = line_spread.op9(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_lines", "n_removed", "text").collect()) == want
+
+
+def test_a_text_of_very_many_boilerplate_lines(spark):
+    many = "\n".join(f"common {i}" for i in range(60_000))
+    rows = [(i, f"{many}\nown {i}", f"s{i}") for i in range(10)] + [(99, many, "s0")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_spread.op9(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: (60_001, 60_000, f"own {i}") for i in range(10)} | {99: (60_000, 60_000, "")}
+
+
 # -- 10 -----------------------------------------------------------------------
 
 
