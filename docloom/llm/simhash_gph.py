@@ -1,30 +1,38 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-64-bit fingerprints of 3-word shingles link at `radius` or fewer differing bits.
-Bits are grouped into partitions, correlated bits together; partition i gets a
-threshold t_i >= -1 with sum(t_i) = radius - m + 1, so a pair within the radius
-is within t_i bits in some partition i. A dynamic programme picks the number of
-partitions and their thresholds from bit frequencies over all fingerprints:
-probe rows plus expected candidates. Each distinct fingerprint is indexed once
-per used partition and probes the ball of radius t_i around its own value;
-verification happens inside the join.
+64-bit fingerprints link at `radius` or fewer differing bits. Bits are grouped
+into partitions, correlated bits together; partition i gets a threshold t_i
+(-1: unused, else even) with sum(t_i + 1) > radius, so that two fingerprints
+within the radius are within t_i bits in some partition i. A dynamic programme
+picks the number of partitions and their unequal thresholds from bit
+frequencies over all fingerprints: rows made plus expected candidates. Each
+distinct fingerprint stands under the keys of the ball of radius t_i / 2 around
+its value in partition i, so two that are within t_i bits there share a key.
+
+Links are looked for in two ways, so that a large group costs no pairs within
+itself. First stars: under each key every fingerprint is held against one
+member, another one each round, and what links becomes one component. Then
+every pair that shares a key, is within the radius and is not in one component
+yet. Nothing is left out: a pair that is skipped is in one component already.
+
+keep_one_similar() is the pipeline's rule: sets of 5-word shingles, a radius
+that reaches Jaccard 0.8, and every link verified on the shingle sets.
 
 Scale: everything after fingerprinting works on distinct fingerprints, so a
 group of identical texts is one node. Nothing but 65 x 64 bit counts reaches
 the driver. Hot join keys are left to AQE's skew split: both sides of each join
-are plain exchanges.
-
-keep_one_similar() is the pipeline's rule: 5-word shingles, a radius that reaches
-Jaccard 0.8, and every link verified on the shingle sets.
+are plain exchanges. Comparisons under a key grow with the square of what
+stands under it; the dynamic programme answers a larger corpus with longer keys.
 
 Nulls and odd cases: null text counts as empty; no words give fingerprint zero,
-which links as any other; fewer than three words hash the whole sequence;
+which links as any other; fewer words than a shingle hash the whole sequence;
 repeated rows are kept; null doc_ids are ignored when a component is named (a
 component of null ids only has a null name). Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -54,10 +62,7 @@ def fingerprint_bytes(text: str | None, width: int = 3) -> int:
     if n <= width:
         return digest(b" ".join(words), SEED)
     join = b" ".join
-    hashes = np.array([digest(join(words[i : i + width]), SEED) for i in range(n - width + 1)], dtype="<u8")
-    lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANES
-    ones = (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _TABLE).ravel()
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return fingerprint_of(np.array([digest(join(words[i : i + width]), SEED) for i in range(n - width + 1)], np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -113,39 +118,49 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def within(p: np.ndarray, most: int) -> list[float]:
-    """Chance that two fingerprints differ in at most 0..most of these bits, each set with chance p."""
-    differ = 2 * p * (1 - p)
-    dist = np.zeros(most + 2)
+def differing(p: np.ndarray) -> np.ndarray:
+    """Chances that two fingerprints differ in 0, 1, 2, ... of these bits, each set with chance p."""
+    dist = np.zeros(len(p) + 1)
     dist[0] = 1
-    for q in differ:
+    for q in 2 * p * (1 - p):
         dist[1:] = dist[1:] * (1 - q) + dist[:-1] * q
         dist[0] *= 1 - q
-    return list(np.cumsum(dist[: most + 1]))
+    return dist
+
+
+def shared_keys(width: int, rho: int, d: int) -> int:
+    """How many values of `width` bits are within rho bits of each of two values that differ in d."""
+    return sum(comb(d, i) * comb(width - d, j) for i in range(d + 1) for j in range(width - d + 1) if max(i, d - i) + j <= rho)
 
 
-def allocate(n: int, both: np.ndarray, radius: int = 3, most_parts: int = 6, met: float = 1.0) -> list[tuple[list[int], int]]:
-    """Partitions with thresholds, at the least sum of probe rows and expected candidates; met: share of all pairs that meet by their other keys."""
-    n = max(n, 1)  # an empty table too gets the plan of fewest probes
+#: What it costs to make, move and sort a row, in comparisons.
+ROW = 30
+
+
+def allocate(n: int, both: np.ndarray, radius: int = 3, most_parts: int = 8, most_rho: int = 3) -> list[tuple[list[int], int]]:
+    """Partitions with the radii of their balls (half their thresholds), at the least cost of rows and expected comparisons."""
+    n = max(n, 1)  # an empty table too gets the plan of fewest rows
     p = np.diag(both) / n
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
-    for m in range(1, min(most_parts, radius + 1) + 1):
+    for m in range(1, most_parts + 1):
         groups = group_bits(n, both, m)
-        total = radius - m + 1
-        # state: sum of thresholds so far -> (cost, thresholds)
+        # state: sum of (threshold + 1) so far -> (cost, radii)
         states: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
-            chance = within(p[g], radius)
-            after: dict[int, tuple[float, list[int]]] = {}
-            for used, (cost, ts) in states.items():
-                for t in range(-1, radius + 1):
-                    probes = sum(comb(len(g), i) for i in range(t + 1))
-                    more = cost + (0 if t < 0 else n * (1 + probes) + met * n * n / 2 * chance[t])
-                    if used + t not in after or more < after[used + t][0]:
-                        after[used + t] = (more, [*ts, t])
+            dist, after = differing(p[g]), {}
+            choices = [(-1, 0, 0.0)]
+            for rho in range(most_rho + 1):
+                rows = sum(comb(len(g), i) for i in range(rho + 1))
+                meet = sum(dist[d] * shared_keys(len(g), rho, d) for d in range(min(2 * rho, len(g)) + 1))
+                choices.append((rho, 2 * rho + 1, ROW * n * rows + n * n / 2 * meet))
+            for used, (cost, rhos) in states.items():
+                for rho, adds, more in choices:
+                    k = min(used + adds, radius + 1)
+                    if k not in after or cost + more < after[k][0]:
+                        after[k] = (cost + more, [*rhos, rho])
             states = after
-        if total in states and states[total][0] < best[0]:
-            best = (states[total][0], [(g, t) for g, t in zip(groups, states[total][1], strict=True) if t >= 0])
+        if radius + 1 in states and states[radius + 1][0] < best[0]:
+            best = (states[radius + 1][0], [(g, rho) for g, rho in zip(groups, states[radius + 1][1], strict=True) if rho >= 0])
     return best[1]
 
 
@@ -153,27 +168,71 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, radius: int = 3, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints at 1..radius differing bits; a pair may come more than once.
+def keys(fp: Column, plan: list[tuple[list[int], int]], ball: bool = True) -> Column:
+    """The array of a fingerprint's keys; without `ball` its own value in each partition only."""
+
+    def part(k: int, group: list[int], rho: int) -> Column:
+        # a constant per partition keeps the keys of different partitions apart
+        own = xxhash.xxh64_intdigest(bytes([k]), SEED)
+        flips = [_signed(own ^ sum(1 << b for b in c)) for i in range((rho if ball else 0) + 1) for c in combinations(group, i)]
+        value = fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
+        return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: value.bitwiseXOR(x))
+
+    return F.concat(*[part(k, group, rho) for k, (group, rho) in enumerate(plan)])
+
+
+Near = Callable[[str, str], Column]
+
+
+def star_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near, turn: int) -> DataFrame:
+    """(a, b) once per pair: each node with the nearest of its keys' stars that is in another component. nodes: (node, fp, size, c).
+
+    A key's star is its member of least hash, another hash each turn.
+    """
+    rows = nodes.select("node", "fp", "size", "c", F.explode(keys(F.col("fp"), plan, ball=False)).alias("key"))
+    stars = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node_s"), F.col("fp").alias("fp_s"), F.col("size").alias("size_s"), F.col("c").alias("c_s"))).alias("s"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    stars = stars.where("c_lo < c_hi").select(F.col("key").alias("key_s"), "s.*")
+    met = rows.withColumnsRenamed({"fp": "fp_a", "size": "size_a"}).join(stars.withColumnsRenamed({"fp_s": "fp_b", "size_s": "size_b"}), (F.col("key") == F.col("key_s")) & (F.col("c") != F.col("c_s")) & near("a", "b"))
+    bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
+    nearest = met.groupBy("node").agg(F.min(F.struct(bits.alias("bits"), F.col("node_s").alias("other"))).alias("p"))
+    return nearest.select(F.least("node", "p.other").alias("a"), F.greatest("node", "p.other").alias("b")).distinct()
+
+
+def open_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near) -> DataFrame:
+    """(a, b, bits) once per pair of different components that shares a key and is near. nodes: (node, fp, size, c)."""
+    rows = nodes.select("node", "fp", "size", "c", F.explode(keys(F.col("fp"), plan)).alias("key"))
+    a, b = (rows.toDF(*[f"{x}_{side}" for x in rows.columns]) for side in "ab")
+    bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
+    met = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & near("a", "b"))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), bits.alias("bits")).distinct()
+
+
+def within_bits(most: int) -> Near:
+    return lambda a, b: F.bit_count(F.col(f"fp_{a}").bitwiseXOR(F.col(f"fp_{b}"))) <= most
+
+
+def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with c: the root of their component, or the node itself."""
+    named = roots.toDF("member", "root")
+    return nodes.join(named, nodes.node == named.member, "left").select(*nodes.columns, F.coalesce("root", "node").alias("c"))
+
+
+def link(fps: DataFrame, radius: int = 3, plan: list[tuple[list[int], int]] | None = None, turns: int = 2) -> DataFrame:
+    """(node, root) of the components of fingerprints that link at `radius` or fewer differing bits; those that link to none may be missing.
 
     fps: one column fp, distinct.
     """
     if plan is None:
         plan = allocate(*bit_counts(fps), radius)
-    masks = [_signed(sum(1 << b for b in g)) for g, _ in plan]
-    flips = [[_signed(sum(1 << b for b in c)) for i in range(t + 1) for c in combinations(g, i)] for g, t in plan]
-    fp = F.col("fp")
-    # one array of (partition, flip) per side: constants, folded into the plan once
-    index = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("part"), fp.bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-    def ball(k: int, own: list[int], mask: int):
-        flipped = F.array(*[F.lit(x).cast("long") for x in own])
-        return F.transform(flipped, lambda x: F.struct(F.lit(k).cast("tinyint").alias("part"), fp.bitwiseAND(F.lit(mask)).bitwiseXOR(x).alias("key")))
-
-    probe = F.concat(*[ball(k, own, mask) for k, (own, mask) in enumerate(zip(flips, masks, strict=True))])
-    a = fps.select(fp.alias("a"), F.explode(index).alias("i")).select("a", "i.part", "i.key")
-    b = fps.select(fp.alias("b"), F.explode(probe).alias("i")).select("b", F.col("i.part").alias("part_b"), F.col("i.key").alias("key_b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return a.join(b, (F.col("part") == F.col("part_b")) & (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    nodes, near = fps.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("size")), within_bits(radius)
+    found, roots = None, None
+    for turn in range(turns):
+        own = nodes.withColumn("c", F.col("node")) if roots is None else labelled(nodes, roots)
+        got = materialise(star_pairs(own, plan, near, turn), "links", narrow=True)
+        found = got if found is None else found.union(got)
+        roots = components(found)
+    rest = open_pairs(labelled(nodes, roots), plan, near).select("a", "b")
+    return components(found.union(rest))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -204,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: doc_id, fp (long), component_id (the least id reachable)."""
     rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", narrow=True)
-    roots = components(links(nodes.select("fp"), radius))
+    roots = link(nodes.select("fp"), radius)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root_name")
     # written, so that the last join gets both sides by plain exchanges
@@ -229,7 +288,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     rows = materialise(marked, "fingerprints")
     own = F.col("row").getField(id_col)
     nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid"))).alias("first")), "nodes", narrow=True)
-    roots = components(links(nodes.select("fp"), radius))
+    roots = link(nodes.select("fp"), radius)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
     winners = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep"))
     # winners grow with the corpus: always a merge join, never one side sent to all
@@ -241,43 +300,32 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.array([digest(join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], np.uint64))
 
 
-def size_class(n: int, similarity: float) -> int:
-    """Sets that are `similarity` alike are in the same class or in neighbouring ones."""
-    return int(np.floor(np.log(n) / -np.log(similarity) + 1e-9)) if n else -1
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
+    if not len(hashes):
+        return 0
+    lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _LANES
+    ones = (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _TABLE).ravel()
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def similar_candidates(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """(a, b, bits) once per pair of nodes within `radius` bits whose sizes allow the similarity. nodes: (node, fp, size, class), distinct nodes.
+def similar_sizes(similarity: float, most: int) -> Near:
+    """Within `most` bits, and of sizes that allow the similarity."""
+    bits = within_bits(most)
+    return lambda a, b: bits(a, b) & (F.least(f"size_{a}", f"size_{b}") >= F.lit(similarity) * F.greatest(f"size_{a}", f"size_{b}"))
 
-    The pigeonhole of links(), with the class of size as one more key: a probe looks in its own class and the one below.
-    """
-    counts = {r["class"]: r.n for r in nodes.groupBy("class").agg(F.count("*").alias("n")).collect()}  # a class for each fifth of growth: a hundred at most
-    total = max(sum(counts.values()), 1)
-    met = sum(c * (c + 2 * counts.get(k - 1, 0)) for k, c in counts.items()) / total**2
-    plan = allocate(*bit_counts(nodes), radius, most_parts=10, met=met)
-    fp = F.col("fp")
-
-    def place(k: int, key: Column) -> Column:
-        return F.struct(F.lit(k).cast("tinyint").alias("part"), key.alias("key"))
-
-    def ball(k: int, key: Column, group: list[int], t: int) -> Column:
-        flips = F.array(*[F.lit(_signed(sum(1 << b for b in c))).cast("long") for i in range(t + 1) for c in combinations(group, i)])
-        return F.transform(flips, lambda x: place(k, key.bitwiseXOR(x)))
-
-    keys = [fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in group)))) for group, _ in plan]
-    index = [place(k, key) for k, key in enumerate(keys)]
-    probe = [ball(k, key, *plan[k]) for k, key in enumerate(keys)]
-    a = nodes.select(F.col("node").alias("a"), fp.alias("fp_a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"), F.explode(F.array(*index)).alias("i")).select("a", "fp_a", "size_a", "class_a", "i.part", "i.key")
-    b = nodes.select(F.col("node").alias("b"), fp.alias("fp_b"), F.col("size").alias("size_b"), F.col("class").alias("own"), F.explode(F.concat(*probe)).alias("i"))
-    b = b.select("b", "fp_b", "size_b", F.col("i.part").alias("part_b"), F.col("i.key").alias("key_b"), F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("class_b"))
-    bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    same_key = (F.col("part") == F.col("part_b")) & (F.col("key") == F.col("key_b")) & (F.col("class_a") == F.col("class_b"))
-    joined = a.join(b, same_key & smaller & (F.col("size_a") >= F.lit(similarity) * F.col("size_b")) & (bits <= radius))
-    return joined.select("a", "b", bits.alias("bits")).distinct()
+
+def suspects(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near) -> DataFrame:
+    """The fp of nodes that share a key with another one that is near; each looks only until it has found one. nodes: (node, fp, size)."""
+    rows = nodes.select("fp", "size", F.explode(keys(F.col("fp"), plan)).alias("key"))
+    a, b = (rows.toDF(*[f"{x}_{side}" for x in rows.columns]) for side in "ab")
+    met = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("fp_a") != F.col("fp_b")) & near("a", "b"), "left_semi")
+    alike = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    return met.select(F.col("fp_a").alias("fp")).union(alike).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -297,12 +345,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 14, width: int = 5, rounds: int = 2) -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 11, most_bits: int = 15, width: int = 5, turns: int = 3, rounds: int = 2) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one of the least id (null last), the first of repeated rows.
 
-    Two texts link where their sets of `width`-word shingles have Jaccard `similarity` or more, looked up by fingerprints within `radius` bits;
-    groups are the components of links. A node is a distinct shingle set. In each of `rounds` rounds a node is held against its nearest candidate,
-    and pairs of one component need no look any more, so that a large group costs few comparisons; whatever is left is compared pair by pair.
+    Two texts link where their sets of `width`-word shingles have Jaccard `similarity` or more; groups are the components of links. A node is a
+    distinct shingle set, fingerprinted over the set. Pairs within `radius` bits are all looked at, and those up to `most_bits` that share a key.
+
+    Nodes with no such neighbour at all leave first. Among the rest, `turns` rounds of stars and `rounds` rounds of nearest pairs are verified on
+    the texts, each only between components, so that a large group costs few comparisons; whatever is left is compared pair by pair.
+    Texts without words are all one node.
     """
     require(docs, id_col, text_col)
     small_batches(docs.sparkSession)
@@ -310,45 +361,50 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         for batch in batches:
-            fps, nodes, sizes, classes = [], [], [], []
-            for t in batch.column(0).field(text_col).to_pylist():
-                own = shingle_set(t, width)
-                fps.append(fingerprint_bytes(t, width))
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                sizes.append(len(own))
-                classes.append(size_class(len(own), similarity))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(classes, pa.int32())], names=["row", "fp", "node", "size", "class"])
-
-    marked = docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, fp long, node long, size int, class int").withColumn("rid", F.monotonically_increasing_id())
+            sets = [shingle_set(t, width) for t in batch.column(0).field(text_col).to_pylist()]
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([fingerprint_of(x) for x in sets], [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array([len(x) for x in sets], pa.int32())], names=["row", "fp", "node", "size"])
+
+    # numbered when written, so the numbers stay
+    marked = docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, fp long, node long, size int").withColumn("rid", F.monotonically_increasing_id())
     rows = materialise(marked, "fingerprints")
     own = F.col("row").getField(id_col)
     first = F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid"))).alias("first")
-    # texts of one set may repeat its shingles and so differ in fingerprint: any will do, the least is the same on every run
-    nodes = materialise(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("class").alias("class"), first), "nodes", narrow=True)
-    todo = materialise(similar_candidates(nodes.where("size > 0"), similarity, radius), "candidates", narrow=True)
-    ends = todo.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    wanted = nodes.join(ends, nodes.node == ends.end, "left_semi").select("first.rid")
-    texts = materialise(rows.join(wanted.withColumnRenamed("rid", "wanted").hint("merge"), F.col("rid") == F.col("wanted"), "left_semi").select("node", F.col("row").getField(text_col).alias("text")), "candidate-texts")
-    linked, roots = None, None
-    for k in range(rounds + 1):
-        if k < rounds:
-            ways = todo.select(F.col("a").alias("u"), F.col("b").alias("v"), "bits", "a", "b").union(todo.select(F.col("b"), F.col("a"), "bits", "a", "b"))
-            picked = ways.groupBy("u").agg(F.min(F.struct("bits", "v", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        else:
-            picked = todo
-        got = materialise(verified(picked, texts, similarity, width), "verified", narrow=True)
-        linked = got if linked is None else linked.union(got)
-        roots = components(linked)
-        if k < rounds:
-            done, one, two = picked.toDF("done_a", "done_b"), roots.toDF("node_a", "root_a"), roots.toDF("node_b", "root_b")
-            left = todo.join(done, (F.col("a") == F.col("done_a")) & (F.col("b") == F.col("done_b")), "left_anti")
-            left = left.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
-            todo = materialise(left.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "bits"), "candidates", narrow=True)
-            if todo.isEmpty():
-                break
+    nodes = materialise(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), first), "nodes", narrow=True)
+    some = nodes.where("size > 0").select("node", "fp", "size", "first.rid")
+    near = similar_sizes(similarity, most_bits)
+    plan = allocate(*bit_counts(some), radius)
+    odd = suspects(some, plan, near)
+    odd = materialise(some.join(odd.withColumnRenamed("fp", "fp_odd").hint("merge"), F.col("fp") == F.col("fp_odd"), "left_semi"), "suspects", narrow=True)
+    wanted = odd.select(F.col("rid").alias("wanted")).hint("merge")
+    texts = materialise(rows.select("rid", "node", F.col("row").getField(text_col).alias("text")).join(wanted, F.col("rid") == F.col("wanted"), "left_semi").select("node", "text"), "suspect-texts")
+    odd = odd.select("node", "fp", "size")
+    found = odd.sparkSession.createDataFrame([], "a long, b long")
+    roots = found.toDF("node", "root")
+
+    def look(pairs: DataFrame) -> None:
+        nonlocal found, roots
+        found = found.union(materialise(verified(pairs, texts, similarity, width), "verified", narrow=True))
+        roots = components(found)
+
+    for turn in range(turns):
+        look(star_pairs(labelled(odd, roots), plan, near, turn))
+    todo = materialise(open_pairs(labelled(odd, roots), plan, near), "open-pairs", narrow=True)
+    for _ in range(rounds):
+        ways = todo.select(F.col("a").alias("u"), F.col("b").alias("v"), "bits", "a", "b").union(todo.select(F.col("b"), F.col("a"), "bits", "a", "b"))
+        nearest = materialise(ways.groupBy("u").agg(F.min(F.struct("bits", "v", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest", narrow=True)
+        look(nearest)
+        done, one, two = nearest.toDF("done_a", "done_b"), roots.toDF("node_a", "root_a"), roots.toDF("node_b", "root_b")
+        left = todo.join(done, (F.col("a") == F.col("done_a")) & (F.col("b") == F.col("done_b")), "left_anti")
+        left = left.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+        todo = materialise(left.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "bits"), "open-pairs", narrow=True)
+        if todo.isEmpty():
+            break
+    else:
+        look(todo)
     named = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep"))
+    # winners grow with the corpus: always a merge join, never one side sent to all
     return rows.join(winners.hint("merge"), rows.rid == winners.keep, "left_semi").select("row.*")
 
 

@@ -348,8 +348,26 @@ def test_simhash(spark, small, odd_docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(set(least.values())) and kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("plan", [None, [(range(64), 3)], [(range(32), 1), (range(32, 64), 1)], [(range(0, 64, 3), 0), (range(1, 64, 3), 1), (range(2, 64, 3), 0)]])
-def test_links_by_any_allocation(spark, plan):
+def plain_roots(nodes, pairs):
+    up = {x: x for x in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return {x: find(x) for x in nodes}
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("plan", [None, [(range(64), 2)], [(range(32), 1), (range(32, 64), 0)], [(range(0, 64, 3), 0), (range(1, 64, 3), 0), (range(2, 64, 3), 1)], [(range(k, 64, 4), 0) for k in range(4)]])
+def test_components_by_any_allocation(spark, plan):
     random.seed(6)
     fps = {random.getrandbits(64) for _ in range(40)}
     for f in list(fps):
@@ -358,11 +376,32 @@ def test_links_by_any_allocation(spark, plan):
             for b in random.sample(range(64), random.randrange(1, 6)):
                 g ^= 1 << b
             fps.add(g)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    want = {tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3}
-    frame = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    got = simhash_gph.links(frame, 3, plan and [(list(g), t) for g, t in plan])
-    assert {(r.a, r.b) for r in got.distinct().collect()} == want
+    fps = {signed(f) for f in fps}
+    want = plain_roots(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r.node: r.root for r in simhash_gph.link(frame, 3, plan and [(list(g), t) for g, t in plan]).collect()}
+    assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_the_plan_covers_the_radius():
+    rng = np.random.default_rng(0)
+    for radius in (0, 3, 11):
+        for n in (1, 1000, 10**7):
+            both = rng.random((64, 64)) * n / 2
+            plan = simhash_gph.allocate(n, (both + both.T) / 2, radius)
+            assert sum(2 * rho + 1 for _, rho in plan) > radius and len({b for g, _ in plan for b in g}) == sum(len(g) for g, _ in plan)
+
+
+def test_a_ball_of_many_fingerprints(spark):
+    """5,000 fingerprints within 3 bits of one: few links, one component."""
+    center = 0x123456789ABCDEF0
+    ball = [center] + [center ^ sum(1 << b for b in c) for k in (1, 2, 3) for c in itertools.combinations(range(64), k)][:4999]
+    frame = spark.createDataFrame([(signed(f),) for f in ball] + [(signed(center ^ (1 << 64) - 1),)], "fp long")
+    plan = simhash_gph.allocate(*simhash_gph.bit_counts(frame), 3)
+    own = frame.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("size"), F.col("fp").alias("c"))
+    assert simhash_gph.star_pairs(own, plan, simhash_gph.within_bits(3), 0).count() <= len(ball)
+    got = {r.node: r.root for r in simhash_gph.link(frame, 3).collect()}
+    assert {got.get(signed(f), signed(f)) for f in ball} == {min(map(signed, ball))}
 
 
 def test_components(spark):
@@ -410,6 +449,6 @@ def test_near_copies_of_the_stage(spark):
             up[b] = a
             n += 1
     assert n > 20  # pairs, most of them beyond three bits
-    got = {r.doc_id for r in simhash_gph.keep_one_similar(docs, radius=24).collect()}
+    got = {r.doc_id for r in simhash_gph.keep_one_similar(docs, radius=15, most_bits=30).collect()}
     assert got == {i for i in range(len(made)) if find(i) == i}  # radius wide enough for every pair
     assert len({r.doc_id for r in simhash_gph.keep_one_similar(docs).collect()} - got) <= 0.05 * n  # recall of the default
