@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders; windows of template words
 are hashed on both sides and joined on the hash. Matched windows of a document
 and an item bring the values of their slots: where every value of the item
-stands for one value of the document, throughout, the document re-states the
-item with other parameters; where they scatter, the match is a coincidence.
+stands for one value of the document, throughout, and every value of the
+document for one of the item, the document re-states the item with other
+parameters; where they scatter or fall together, the match is a coincidence.
 Hits are judged by occurrence: those of one document, item and alignment
 (position in the document less position in the item, a few words of slack). A
 document is contaminated by an item if the windows of one occurrence cover
@@ -252,10 +253,11 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
         F.count_distinct("w").alias("n_matched"),
         F.max("run").alias("longest"),
         F.count_distinct(F.when(some, F.col("p.i_slots"))).alias("n_values"),
+        F.count_distinct(F.when(some, F.col("p.d_slots"))).alias("n_stands"),
         F.count_distinct(F.when(some, pair)).alias("n_pairs"),
     )
     per_item = items.groupBy("id").agg(F.countDistinct("window").alias("n_windows"))
-    agreed = F.when(F.col("n_pairs") > 0, F.col("n_values") / F.col("n_pairs")).otherwise(1.0)
+    agreed = F.when(F.col("n_pairs") > 0, F.least("n_values", "n_stands") / F.col("n_pairs")).otherwise(1.0)
     judged = occurrences.join(per_item, F.col("item_id").eqNullSafe(F.col("id"))).select(
         *keys, "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), agreed.alias("slot_agreement"), (F.col("longest") / F.col("n_windows")).alias("verbatim")
     )
