@@ -8,7 +8,8 @@ digest of the rules, so a changed rule rescans.
 
 A finding is (kind, start, end) in code points, end exclusive. Matches are
 leftmost and non-overlapping per kind; positions are running sums of the
-lengths of matches and of the pieces between them.
+lengths of matches and of the pieces between them, summed by blocks of BLOCK
+matches, so that the work grows with the number of matches, however many.
 
 Nulls and odd cases: null text is the empty text, without findings; repeated
 rows each get their row; other columns pass through, but for own ones named
@@ -56,34 +57,52 @@ def rule_version(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()
 
 
+#: Findings whose positions are summed up in one go; more of them make more blocks, so the work grows with their number only.
+BLOCK = 256
+
+
 def find_spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """texts with `findings`, sorted by start, then by the rules' order."""
     out = texts
     for k, r in enumerate(rules):
-        hits = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))
-        out = out.withColumn(f"_hits{k}", hits)
+        out = out.withColumn(f"_hits{k}", F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)))
     for k, r in enumerate(rules):
-        some = F.size(f"_hits{k}") > 0
-        out = out.withColumn(f"_gaps{k}", F.when(some, F.split("text", r.pattern, -1)))
-        if r.group:
-            out = out.withColumn(f"_group{k}", F.when(some, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))))
+        hits = F.col(f"_hits{k}")
+        gaps = F.split("text", r.pattern, -1)
+        value = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)) if r.group else hits
+        # of each hit: all it and what lies before it take, its own length, that of its group; the last gap has no hit
+        parts = F.zip_with(F.zip_with(hits, gaps, lambda h, g: F.struct((F.length(g) + F.length(h)).cast("long").alias("step"), F.length(h).alias("n"))), value, lambda p, v: F.struct(p["step"].alias("step"), p["n"].alias("n"), F.length(v).alias("own")))
+        out = out.withColumn(f"_parts{k}", F.when(F.size(hits) > 0, F.slice(parts, 1, F.size(hits))))
+    for k in range(len(rules)):
+        parts = F.col(f"_parts{k}")
+        out = out.withColumn(f"_blocks{k}", F.when(parts.isNotNull(), _blocks(parts)))
+    for k in range(len(rules)):
+        sums = F.transform(f"_blocks{k}", lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, p: a + p["step"]))
+        begins = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        out = out.withColumn(f"_begins{k}", begins)
     out = out.withColumn("findings", F.array_sort(F.concat(*[_spans(k, r) for k, r in enumerate(rules)])))
-    return out.drop(*[c for c in out.columns if c.startswith(("_hits", "_gaps", "_group"))])
+    return out.drop(*[c for c in out.columns if c.startswith(("_hits", "_parts", "_blocks", "_begins"))])
+
+
+def _blocks(parts: Column) -> Column:
+    last = F.floor((F.size(parts) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(parts, b * BLOCK + 1, BLOCK))
 
 
 def _spans(k: int, rule: Rule) -> Column:
-    hits, gaps = F.col(f"_hits{k}"), F.col(f"_gaps{k}")
-    value = F.col(f"_group{k}") if rule.group else hits
-    parts = F.transform(hits, lambda x, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(x).alias("n"), F.length(F.get(value, i)).alias("own")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit([]).cast(FINDINGS).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(k).alias("kind"), (begin + x["n"]).alias("end"))
-        return F.struct((begin + x["n"]).alias("at"), F.when(x["own"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-    none = F.lit([]).cast(FINDINGS)
-    return F.when(F.size(hits) > 0, F.aggregate(parts, start, step)["found"]).otherwise(none)
+    def block(parts: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.lit([]).cast(FINDINGS).alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + x["step"]
+            span = F.struct((end - x["n"]).alias("start"), F.lit(k).alias("kind"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(x["own"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+
+        return F.aggregate(parts, start, step, lambda acc: acc["found"])
+
+    # one more begin than blocks: the end of the last
+    found = F.zip_with(f"_blocks{k}", F.slice(f"_begins{k}", 1, F.size(f"_blocks{k}")), block)
+    return F.when(F.col(f"_blocks{k}").isNull(), F.lit([]).cast(FINDINGS)).otherwise(F.flatten(found))
 
 
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text") -> DataFrame:
