@@ -9,7 +9,7 @@ cover more than `max_covered` of its words or if one repeat is longer than
 first: a text that fails them isn't kept.
 
 Texts are handled in blocks of about BLOCK words (a longer text alone), so
-memory is bounded by the longest text.
+memory is bounded by the longest text: about a hundred bytes a word.
 
 Nulls and odd cases: null and empty texts have no word and fail the base rules;
 repeated rows each get a row; other columns are ignored.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import require, small_batches
 
 BLOCK = 60_000
+#: Up to so many words a table of ranks by doubling is kept; a longer text is walked instead, in memory of a few numbers a word.
+LEVELS = 1 << 18
 BLANKS, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 
 
@@ -48,7 +50,8 @@ def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     order = np.argsort(ids, kind="stable")
     start, first = fresh_runs(ids[order])
     rank[order] = start
-    levels = [rank.copy()]
+    small = n <= LEVELS
+    levels = [rank.astype(np.int32)]
     alone = first & np.append(first[1:], True)
     active, k = order[~alone], 1
     while len(active):
@@ -61,12 +64,19 @@ def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
         start_key, first = fresh_runs(key)
         start_base, _ = fresh_runs(base)
         rank[active] = base + start_key - start_base
-        levels.append(rank.copy())
+        if small:
+            levels.append(rank.astype(np.int32))
         alone = first & np.append(first[1:], True)
         active = active[~alone]
         k *= 2
     suffix = np.empty(n, np.int64)
     suffix[rank[:n]] = np.arange(n)
+    best = np.zeros(n, np.int64)
+    if not small:
+        a, length = suffix[1:], shared_prefixes(ids, doc, rank, suffix)[1:]
+        np.maximum.at(best, a, length)
+        np.maximum.at(best, suffix[:-1], length)
+        return best
     a, b = suffix[:-1], suffix[1:]
     some = np.flatnonzero(levels[0][a] == levels[0][b])
     a, b = a[some], b[some]
@@ -74,12 +84,32 @@ def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     for j in range(len(levels) - 1, -1, -1):
         same = levels[j][np.minimum(a + length, n)] == levels[j][np.minimum(b + length, n)]
         length[same & (np.minimum(a + length, n) < n)] += 1 << j
-    best = np.zeros(n, np.int64)
     np.maximum.at(best, a, length)
     np.maximum.at(best, b, length)
     return best
 
 
+def shared_prefixes(ids: np.ndarray, doc: np.ndarray, rank: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """By rank: the longest common prefix of a suffix and the one before it, in one walk over the text (after Kasai and others) and without a table."""
+    n = len(ids)
+    # the end of each position's text bounds its prefix; equal words are of one text only
+    word, place, order = (memoryview(np.ascontiguousarray(x, np.int32)) for x in (ids, rank[:n], suffix))
+    out, k = np.zeros(n, np.int32), 0
+    to = memoryview(out)
+    for i in range(n):
+        r = place[i]
+        if r:
+            j = order[r - 1]
+            top = n - max(i, j)
+            while k < top and word[i + k] == word[j + k]:
+                k += 1
+            to[r] = k
+            k = k - 1 if k else 0
+        else:
+            k = 0
+    return out.astype(np.int64)
+
+
 def covered(best: np.ndarray, least: int) -> np.ndarray:
     """Whether each position lies in a repeat of `least` words or more."""
     n = len(best)
@@ -133,7 +163,7 @@ def measure(texts: list[str | None], min_repeat: int = 4) -> list[tuple[int, int
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
 
-def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 4, max_covered: float = 0.6, longest: int = 100) -> DataFrame:
+def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 4, max_covered: float = 0.2, longest: int = 100) -> DataFrame:
     """One row per row of docs: doc_id, the seven measures, base_failed, kept."""
     require(docs, id_col, text_col)
     small_batches(docs.sparkSession)
