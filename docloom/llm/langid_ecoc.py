@@ -7,11 +7,13 @@ language of least weighted loss: a bit's loss counts by how well that bit tells
 that language on training rows. A text whose two best languages are close is
 flagged ambiguous.
 
-Training takes at most `most` documents, evenly by language, chosen by hash,
-each as a whole and cut into a few short snippets so that short texts are met.
+Training takes at most `most` documents, evenly by language, chosen by hash, and
+of each at most `most_chars` signs from a place chosen by hash, as a whole and
+cut into a few short snippets so that short texts are met. So what reaches the
+driver is bounded in bytes. Predictions read whole texts.
 
 Nulls and odd cases: null texts and texts without a letter are `und` with
-score 0; a null lang is not learned from; with one language every text with
+score 0; ties go to the lesser name; a null lang is not learned from; with one language every text with
 letters gets it at score 1; without any training row all are `und`; repeated
 rows each get a row; very long texts are read whole. lang, source and ids are
 no inputs of a prediction.
@@ -20,6 +22,7 @@ no inputs of a prediction.
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import product
 
 import numpy as np
@@ -36,7 +39,21 @@ UND = "und"
 
 
 def letters(text: str | None) -> str:
-    return NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    """The text's runs of letters in lower case, a space between them. Numbers of other kinds than digits (fractions, Roman, circled) are no letters."""
+    if not text:
+        return ""
+    clean = NOT_LETTERS.sub(" ", text.lower()).strip()
+    if clean and not clean.replace(" ", "").isalpha():
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
+    return clean
+
+
+def piece(clean: str, most: int, at: int) -> str:
+    """Whole words from one place of the text, about `most` signs; at: any number, says which."""
+    if len(clean) <= most:
+        return clean
+    begin = at % (len(clean) - most)
+    return clean[begin : begin + most].partition(" ")[2].rpartition(" ")[0] or clean[begin : begin + most]
 
 
 def features(clean: str) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +156,7 @@ def training_rows(docs: DataFrame, most: int, most_langs: int = 1000) -> DataFra
     return usable.where(F.lit(False) if chance is None else place < F.try_element_at(chance, F.col("lang"))).select("lang", "text")
 
 
-def identify(docs: DataFrame, most: int = 2400, model: Model | None = None, least_gap: float = 0.2) -> DataFrame:
+def identify(docs: DataFrame, most: int = 2400, most_chars: int = 8000, model: Model | None = None, least_gap: float = 0.2) -> DataFrame:
     """(row struct of docs' columns, lang_pred, score, ambiguous) for each row of docs (doc_id, text; lang to learn from)."""
     require(docs, "doc_id", "text", *([] if model else ["lang"]))
     spark = docs.sparkSession
@@ -148,7 +165,7 @@ def identify(docs: DataFrame, most: int = 2400, model: Model | None = None, leas
 
         def clean(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([letters(t) for t in b.column(1).to_pylist()])], names=["lang", "clean"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([piece(letters(t), most_chars, zlib.crc32((t or "").encode("utf-8", "surrogatepass"))) for t in b.column(1).to_pylist()])], names=["lang", "clean"])
 
         got = training_rows(docs.select("doc_id", "text", "lang"), most).mapInArrow(clean, "lang string, clean string").where("clean <> ''").toArrow()
         model = fit(got.column("clean").to_pylist(), got.column("lang").to_pylist())
