@@ -13,11 +13,11 @@ A source's share of the budget is so many whole passes and a part of one; the
 part takes blocks in order, and documents of the last block in order, until
 the next document would go over it.
 
-Scale: two aggregations to the sources and to at most `most_blocks` blocks a
-source; the only windows run over one source's blocks and over the documents
-of each source's last block. A bisection step reads the cached per-source
-table, 31 exponents (five halvings) at a time, and only those 31 rows reach
-the driver.
+Scale: aggregations to the sources and to blocks of about `block_tokens`; the
+windows run over the documents of a block, the SHELF blocks of a shelf, and the
+shelves of a source (20,000 for a source of 8e12 tokens). Five halvings are
+looked at in one job: a step reads the written per-source table at 31 exponents,
+and only those 31 rows reach the driver.
 
 Nulls and odd cases: null text has no token; a null source is a source of its
 own; documents without tokens are drawn as often as their source makes whole
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import materialise, require, text_or_empty
 
 WORDS = r"[^\x20\x09-\x0D]+"
+SHELF = 4096
 
 
 def count_words(text: Column) -> Column:
@@ -61,18 +62,21 @@ def solve_exponent(sources: DataFrame, total: int, budget: float, entropy: float
     return high
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | None = None, entropy: float = 0.95, max_repeat: float = 4.0, seed: int = 7, block_tokens: int = 100_000, most_blocks: int = 65_536) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | None = None, entropy: float = 0.95, max_repeat: float = 4.0, seed: int = 7, block_tokens: int = 100_000, tokens_col: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, n_tokens, exponent, weight, block, place, copies.
 
-    budget: tokens to draw; the corpus's own number if None. copies counts the
+    budget: tokens to draw; the corpus's own number if None. tokens_col: a column
+    with each document's tokens by some tokenizer; else its words count, as SQL
+    functions have no tokenizer. copies counts the
     draws of the document; (block, place) is its place in its source's order.
     """
-    require(docs, id_col, text_col, source_col)
+    require(docs, id_col, source_col, tokens_col or text_col)
+    counted = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else count_words(F.col(text_col))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), count_words(F.col(text_col)).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), counted.alias("n_tokens"))
     # ties of the first hash are settled by the second and the id; rows that are alike in all three are one unit
     rows = materialise(rows, "mix-rows")
-    sources = rows.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens")).persist()
+    sources = materialise(rows.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens")), "mix-sources", narrow=True)
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         z = F.lit(0).cast("long")
@@ -90,17 +94,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weight.alias("weight"),
         passes.cast("long").alias("passes"),
         F.when(F.col("tokens") > 0, share - passes * F.col("tokens")).otherwise(0).cast("long").alias("rest"),
-        F.greatest(F.lit(1), F.least(F.lit(most_blocks), F.ceil(F.col("tokens") / F.lit(block_tokens)))).cast("long").alias("n_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("long").alias("n_blocks"),
     )
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("n_tokens"))
     dealt = rows.join(plan, rows.source_key == plan.plan_key).withColumn("h", order).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("h")), F.col("n_blocks")))
     blocks = dealt.groupBy("source_key", "block", "rest").agg(F.sum("n_tokens").alias("block_tokens"))
-    by_hash = W.partitionBy("source_key").orderBy(F.xxhash64(F.lit(seed + 2), F.col("source_key"), F.col("block")), "block")
-    before = F.sum("block_tokens").over(by_hash) - F.col("block_tokens")
-    blocks = blocks.withColumn("before", before).select(
+    # shelves of blocks, in the order of their hash, and blocks in theirs: no window is longer than SHELF, but for that over a source's shelves
+    blocks = blocks.withColumn("shelf", F.floor(F.col("block") / SHELF))
+    shelves = blocks.groupBy("source_key", "shelf").agg(F.sum("block_tokens").alias("shelf_tokens"), F.count("*").alias("shelf_blocks"))
+    by_shelf = W.partitionBy("source_key").orderBy(F.xxhash64(F.lit(seed + 3), F.col("source_key"), F.col("shelf")), "shelf")
+    ahead = lambda x: F.sum(x).over(by_shelf) - F.col(x)
+    shelves = shelves.select(F.col("source_key").alias("s_key"), F.col("shelf").alias("s_shelf"), ahead("shelf_tokens").alias("tokens_ahead"), ahead("shelf_blocks").alias("blocks_ahead"))
+    blocks = blocks.join(shelves, (F.col("source_key") == F.col("s_key")) & (F.col("shelf") == F.col("s_shelf")))
+    by_hash = W.partitionBy("source_key", "shelf").orderBy(F.xxhash64(F.lit(seed + 2), F.col("source_key"), F.col("block")), "block")
+    before = F.col("tokens_ahead") + F.sum("block_tokens").over(by_hash) - F.col("block_tokens")
+    blocks = blocks.withColumn("before", before).withColumn("nth", F.row_number().over(by_hash)).select(
         F.col("source_key").alias("b_key"),
         F.col("block").alias("b_block"),
-        F.row_number().over(by_hash).cast("long").alias("nth"),
+        (F.col("blocks_ahead") + F.col("nth")).cast("long").alias("nth"),
         F.when(F.col("before") + F.col("block_tokens") <= F.col("rest"), F.lit(1)).when(F.col("before") < F.col("rest"), F.col("rest") - F.col("before") + 1).otherwise(F.lit(0)).cast("long").alias("left"),
     )
     # left: 1 all of it, 0 none, else one more than the tokens still to take
