@@ -114,6 +114,21 @@ def test_language_on_held_out_rows(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
 
 
+@pytest.mark.parametrize("text", ["½ ²", "①②③", "Ⅷ Ⅸ", "12 34", "___", "", None, "٣٤", "🎉"])
+def test_no_letter_no_language(spark, text):
+    docs = spark.createDataFrame([(i, "ein Haus am See" if i % 2 else "a house at the lake", "de" if i % 2 else "en") for i in range(40)] + [(100, text, "en"), (101, "½ Haus", "de")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid_ecoc.op7(docs).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == "de"
+
+
+def test_training_pieces_are_bounded():
+    clean = " ".join(f"word{i}" for i in range(5000)).translate(str.maketrans("0123456789", "abcdefghij"))
+    for at in (0, 7, 12345, 2**31):
+        got = langid_ecoc.piece(clean, 400, at)
+        assert 300 < len(got) <= 400 and set(got.split()) <= set(clean.split())
+    assert langid_ecoc.piece("x" * 1000, 400, 5) == "x" * 400
+
+
 @pytest.mark.parametrize("k", [2, 3, 5, 6, 20])
 def test_codewords_differ(k):
     code = langid_ecoc.codewords(k)
@@ -172,6 +187,101 @@ def test_planted_passages(spark, small):
     assert {(r.doc_id, r.item_id) for r in decontaminate.op4(small, bench).collect()} == want
 
 
+def reworded(rng):
+    """A question's parts: words, and slots to fill."""
+    names, units = "Boston Madrid Lisbon Berta Oslo Turin Quito Nadia Lagos Perth".split(), "km hours kg miles litres days".split()
+    words = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(rng.randrange(14, 30))]
+    slots = sorted(rng.sample(range(3, len(words)), 3))
+    kinds = [rng.choice(["number", "name", "measure"]) for _ in slots]
+
+    def fill():
+        out, n = list(words), rng.sample(range(2, 999), len(slots))
+        who = rng.sample(names, len(slots))
+        for k, (at, kind) in enumerate(zip(slots, kinds, strict=True)):
+            out[at] = str(n[k]) if kind == "number" else who[k] if kind == "name" else f"{n[k]} {units[at % len(units)]}"
+        return " ".join(out)
+
+    return fill
+
+
+def test_reparameterised_questions_are_found(spark):
+    rng = random.Random(12)
+    made = [reworded(rng) for _ in range(150)]
+    bench = spark.createDataFrame([(i, f()) for i, f in enumerate(made)], "item_id long, text string")
+    noise = lambda: " ".join(rng.choices("the cat went on with a long walk over green hills and came home late at night".split(), k=rng.randrange(5, 60)))
+    docs = [(i, f"{noise()}. {f()} {noise()}") for i, f in enumerate(made)] + [(1000 + i, noise() * 3) for i in range(100)]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.op4(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    right = {(i, i) for i in range(len(made))}
+    assert len(found & right) >= 0.9 * len(right) and not found - right
+
+
+def test_many_to_one_is_no_restatement(spark):
+    item = "Anna sold 3 clips to friends in Madrid and then she sold 5 more clips in Lisbon before the end of the day"
+    one = item.replace("Madrid", "Bertha").replace("Lisbon", "Bertha").replace("3", "7").replace("5", "7").replace("Anna", "Bertha")
+    frame = spark.createDataFrame([(1, "so " + one), (2, "so " + item.replace("Madrid", "Turin").replace("5", "9"))], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.op4(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [2]
+
+
+def plain_matches(text, item, cover=0.3, agree=0.8, verbatim=0.5):
+    """The rule said again: windows of words and kinds, shifts grouped, slots paired, for one document and one item."""
+
+    def parts(t):
+        _, kind, words = decontaminate.template(t)
+        words = [w.strip(decontaminate.STRIP).lower() for w in words]
+        return [w if k == 0 else int(k) for w, k in zip(words, kind.tolist(), strict=True)], words
+
+    (iq, iw), (dq, dw) = parts(item), parts(text)
+    width = min(decontaminate.WINDOW, len(iq))
+    if width < decontaminate.LEAST:
+        return False
+    good = lambda q, at: sum(isinstance(x, str) for x in q[at : at + width]) >= min(decontaminate.LITERALS, width - 1)
+    mine = [at for at in range(len(iq) - width + 1) if good(iq, at)]
+    total = len({tuple(iq[at : at + width]) for at in mine})
+    hits = sorted((d - i, n, i, d) for n, i in enumerate(mine) for d in range(len(dq) - width + 1) if dq[d : d + width] == iq[i : i + width])
+    groups = []
+    for h in hits:
+        if not groups or h[0] - groups[-1][-1][0] > decontaminate.SLACK:
+            groups.append([])
+        groups[-1].append(h)
+    for g in groups:
+        slots = lambda q, w, at: [w[k] for k in range(at, at + width) if not isinstance(q[k], str)]
+        pairs = {p for _, _, i, d in g for p in zip(slots(iq, iw, i), slots(dq, dw, d), strict=True)}
+        agreed = min(len({a for a, _ in pairs}), len({b for _, b in pairs})) / len(pairs) if pairs else 1
+        longest = 0
+        for shift in {h[0] for h in g}:
+            own = sorted(n for s, n, i, d in g if s == shift and slots(iq, iw, i) == slots(dq, dw, d))
+            run = 0
+            for k, n in enumerate(own):
+                run = run + 1 if k and n == own[k - 1] + 1 else 1
+                longest = max(longest, run)
+        if len({tuple(iq[i : i + width]) for _, _, i, _ in g}) / total >= cover and agreed >= agree or longest / total >= verbatim:
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force(spark, odd_docs):
+    rng = random.Random(5)
+    made = [reworded(rng) for _ in range(12)]
+    items = [f() for f in made] + ["", "too short", "one two 3 four Five"]
+    texts = []
+    for _ in range(150):
+        bits = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(made)().split()
+            for _ in range(rng.choice([0, 0, 1, 4])):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = [rng.choice(["x", "7", "Oslo", "and"])]
+            cut = rng.randrange(len(words)) if rng.random() < 0.4 else 0
+            bits.append(" ".join(words[cut:] if rng.random() < 0.5 else words[: len(words) - cut]))
+        texts.append(rng.choice([" ", ". ", " and so on and so forth, "]).join(bits))
+    rows = list(enumerate(texts)) + [(1000, None), (1001, "")]
+    want = {(d, i) for d, t in rows for i, q in enumerate(items) if plain_matches(t or "", q)}
+    assert 30 < len(want) < len(rows) * len(items) / 3
+    got = decontaminate.op4(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert decontaminate.op4(odd_docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 # -- 5 ------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -202,6 +312,14 @@ def test_secrets(spark, small, odd_docs, tmp_path):
     assert spark.read.parquet(ledger).count() == n + small.select("text").distinct().count()
 
 
+def test_very_many_secrets_in_one_text(spark):
+    text = "é " + "token=abcdef12 x\n" * 100_000
+    got = secret_ledger.op5(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).collect()
+    spans = ",".join(f"assign:{2 + 17 * i}:{2 + 17 * i + 14}" for i in range(100_000))
+    want = hashlib.sha256(spans.encode()).hexdigest()
+    assert {r.doc_id: (r.n_assign, r.base_sha256) for r in got} == {1: (100_000, want), 2: (100_000, want), 3: (0, hashlib.sha256(b"").hexdigest())}
+
+
 # -- 6 ------------------------------------------------------------------------
 
 
@@ -218,6 +336,43 @@ def test_longest_repeats():
         assert repetition.longest_repeats(ids, of).tolist() == sum(map(brute, docs), [])
 
 
+def test_long_texts_are_walked(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [np.zeros(5000, np.int64), rng.integers(0, 3, 4000), np.tile(rng.integers(0, 90, 700), 6), np.arange(3000), np.zeros(1, np.int64)]
+    for ids in texts:
+        doc = np.zeros(len(ids), np.int64)
+        want = repetition.longest_repeats(ids, doc)
+        monkeypatch.setattr(repetition, "LEVELS", 0)
+        assert (repetition.longest_repeats(ids, doc) == want).all()
+        monkeypatch.undo()
+    # many texts in one block
+    doc = np.repeat(np.arange(40), 30)
+    ids = rng.integers(0, 3, len(doc)) + 10 * doc
+    want = repetition.longest_repeats(ids, doc)
+    monkeypatch.setattr(repetition, "LEVELS", 0)
+    assert (repetition.longest_repeats(ids, doc) == want).all()
+
+
+def test_a_text_of_very_many_words():
+    import tracemalloc
+
+    text = "same " * 1_000_000 + "end"
+    tracemalloc.start()
+    found = repetition.measure([text])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] == 1_000_001 and found[4] == 1_000_000 and found[6] == 999_999
+    assert most < 220 * found[0]
+
+
+def test_the_rule_on_four_word_repeats(spark):
+    """Repeats of four words only: no five-word window comes twice, but much of the text is covered."""
+    phrase = "one two three four"
+    text = " ".join(f"{phrase} u{i}" for i in range(10)) + " " + " ".join(f"v{i}" for i in range(5))
+    got = repetition.op6(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_repeat_words == 0 and not got.base_failed and got.n_covered == 40 and not got.kept
+
+
 def test_repetition(spark, small, odd_docs):
     docs = small.select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
     want = Counter()
@@ -259,6 +414,18 @@ def test_mixture(spark):
     assert Counter(r.doc_id for r in temperature_mix.schedule(temperature_mix.mix(docs, block_tokens=500)).collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_mixture_by_given_counts(spark):
+    rows = [(i, None, f"s{i % 3}", 10 * (1 + i % 3) ** 3) for i in range(300)]
+    got = temperature_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, n long"), tokens_col="n", block_tokens=40).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: n for i, _, _, n in rows}
+    # places in a source's order are one for each document
+    assert len({(r.source, r.block, r.place) for r in got}) == 300
+    blocks = defaultdict(set)
+    for r in got:
+        blocks[r.source].add(r.block)
+    assert all(min(b) == 1 and max(b) == len(b) for b in blocks.values())
+
+
 # -- 9 ------------------------------------------------------------------------
 
 
