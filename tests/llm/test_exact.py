@@ -57,6 +57,47 @@ def test_host_consensus(spark):
     assert got[9] == "short text of the page" and got[0].startswith("many words") and got[10] == ""
 
 
+def site(spark, *bodies, host="h.example"):
+    rows = [(i, f"https://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in html_extract.op1(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+
+
+LONG = "<p>" + "many words in the main text of this page " * 4 + "</p>"
+SAID = ("many words in the main text of this page " * 4).strip()
+
+
+def test_names_alone_drop_no_article(spark):
+    assert set(site(spark, *[f"<div class='social-science'>{LONG}</div><div class='x1'><p>short {i}</p></div>" for i in range(4)]).values()) == {SAID}
+    assert set(site(spark, *[f"<div class='social'>{LONG}</div>"] * 3).values()) == {SAID}
+    assert set(site(spark, *[f"<header><p>site name</p></header><article><header><h1>Title</h1></header><div class='entry-header'><h2>Sub</h2></div>{LONG}<footer>by me</footer></article>"] * 3).values()) == {f"Title Sub {SAID}"}
+    assert set(site(spark, *[f"<main><h1>Title</h1><section>{LONG}</section></main><section><p>elsewhere</p></section>"] * 3).values()) == {f"Title {SAID}"}
+
+
+def test_the_vote_decides(spark):
+    """A container without any telling name, longer than the text on one page, loses by the votes of the others."""
+    body = "<div class='ka'>{}</div><div class='kb'>{}</div>"
+    short = "<p>short text of the page</p>"
+    rows = [body.format(LONG, short)] * 5 + [body.format(short, LONG * 3)]
+    got = site(spark, *rows)
+    alone = html_extract.blocks(f"<html><body>{rows[5]}</body></html>")
+    assert html_extract.text_of(alone, html_extract.best_path(alone)[0]).startswith("many words") and got[5] == "short text of the page" and got[0] == SAID
+    # the same pages, each on a host of its own, go by their own best
+    assert site(spark, rows[5])[0].startswith("many words")
+
+
+def test_furniture_inside_the_text(spark):
+    inner = f"<article>{LONG}<div class='ad-banner'><p>buy this</p></div><p class='notice'>mind the gap</p><p>the end</p><ul><li><a href=x>more one</a><li><a href=y>more two</a></ul><section class='readerComments'><p>first!</p></section><form><p>sign up</p></form><button>go</button><span hidden>no</span></article><aside><p>aside</p></aside>"
+    assert set(site(spark, *[inner] * 4).values()) == {f"{SAID} the end"}
+    # one page is no host: its list of links stays
+    assert site(spark, inner)[0] == f"{SAID} the end more one more two"
+
+
+def test_long_and_broken_pages(spark):
+    many = "<div class='a'><p>x y<span class=q>" * 30_000
+    got = site(spark, f"<article>{'<p>word one two</p>' * 50_000}</article>", many, "<b" * 50_000 + ">t", "<!--" + LONG, "&lt;" * 100_000)
+    assert got[0] == " ".join(["word one two"] * 50_000) and "x y" in got[1] and got[3] == "" and got[4] == "<" * 100_000
+
+
 # -- 2 ------------------------------------------------------------------------
 
 
