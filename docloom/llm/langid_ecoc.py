@@ -134,7 +134,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             own.append(names.index(g))
     own = np.array(own)
     even = len(own) / len(names) / np.bincount(own, minlength=len(names))[own]
-    fitted = [dual_descent(rows, code[own, j].astype(float), BUCKETS, c=4 * even, epochs=6) for j in range(code.shape[1])]
+    fitted = [dual_descent(rows, code[own, j].astype(float), BUCKETS, c=4 * even, epochs=6, squared=True) for j in range(code.shape[1])]
     weights, bias = np.stack([w for w, _ in fitted], 1).astype(np.float32), np.array([b for _, b in fitted], np.float32)
     margin = np.stack([v @ weights[i] + bias for i, v in rows])
     right = (margin * code[own] > 0).astype(float)

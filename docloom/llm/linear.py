@@ -5,29 +5,31 @@ from __future__ import annotations
 import numpy as np
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, c: np.ndarray | float = 1.0, epochs: int = 12, seed: int = 5, tol: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise |w|^2 / 2 + sum c_i max(0, 1 - y_i (w x_i + b))^2.
+def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, c: np.ndarray | float = 1.0, epochs: int = 12, seed: int = 5, tol: float = 1e-3, squared: bool = False) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise (|w|^2 + b^2) / 2 + sum c_i max(0, 1 - y_i (w x_i + b)).
 
-    rows: (index, value) pairs; y: +1 or -1. One dual variable per row, visited in
-    random order; each step is the exact minimum along it. The bias is one more
-    feature of value 1. The squared hinge only adds 1 / (2c) to the diagonal.
+    rows: (index, value) pairs; y: +1 or -1. One dual variable per row, between 0
+    and c_i, visited in random order; each step is the exact minimum along it,
+    clipped to that range. The bias is one more feature of value 1. squared: the
+    square of each loss instead, which has no upper end of the range and adds
+    1 / (2 c_i) to the diagonal.
     """
     n = len(rows)
     w, b = np.zeros(dims), 0.0
     c = np.broadcast_to(np.asarray(c, float), (n,))
-    diag = 1 / (2 * c)
-    q = np.array([float(v @ v) + 1 for _, v in rows]) + diag
-    alpha, rng = np.zeros(n), np.random.default_rng(seed)
+    top = [np.inf] * n if squared else c.tolist()
+    diag = (1 / (2 * c)).tolist() if squared else [0.0] * n
+    q = [float(v @ v) + 1 + d for (_, v), d in zip(rows, diag, strict=True)]
+    alpha, rng, sign = [0.0] * n, np.random.default_rng(seed), y.tolist()
     for _ in range(epochs):
         worst = 0.0
-        for i in rng.permutation(n):
+        for i in rng.permutation(n).tolist():
             idx, val = rows[i]
-            g = y[i] * (w[idx] @ val + b) - 1 + diag[i] * alpha[i]
-            pg = min(g, 0.0) if alpha[i] == 0 else g
-            if pg:
-                worst = max(worst, abs(pg))
-                new = max(alpha[i] - g / q[i], 0.0)
-                step = (new - alpha[i]) * y[i]
+            g = sign[i] * (float(w[idx] @ val) + b) - 1 + diag[i] * alpha[i]
+            if g < 0 if alpha[i] <= 0 else g > 0 if alpha[i] >= top[i] else g:
+                worst = max(worst, abs(g))
+                new = min(max(alpha[i] - g / q[i], 0.0), top[i])
+                step = (new - alpha[i]) * sign[i]
                 alpha[i] = new
                 w[idx] += step * val
                 b += step

@@ -1,9 +1,10 @@
 """Quality scores by naive-Bayes support vectors.
 
-Features are indicators of n-grams (1 to 3) over the words' shapes: case,
-length, closing sign, digits, and whether the word equals the one before it.
-An n-gram has one indicator per share of the text that it makes up (any, 2, 8,
-25 and 60 %), so a long text with a little noise differs from a noisy one.
+Features are indicators of n-grams of two kinds: of words in lower case (1 and
+2), hashed, and of the words' shapes (1 to 3): case, length, closing sign,
+digits, and whether the word equals the one before it. An n-gram of shapes has
+one indicator per share of the text that it makes up (any, 2, 8, 25 and 60 %),
+so a long text with a little noise differs from a noisy one.
 Indicators are scaled by the classes' log-count ratio; a linear hinge-loss
 model is fitted to them by dual coordinate descent, and its margin becomes a
 probability by a logistic fit on the training rows.
@@ -23,13 +24,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import held_out, materialise, require, small_batches
 from docloom.llm.linear import dual_descent, logistic_scale
 
-BUCKETS = 1 << 16
+SHAPE_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 18
+BUCKETS = SHAPE_BUCKETS + WORD_BUCKETS
 SHARES = (0.0, 0.02, 0.08, 0.25, 0.6)
 MEMO = 1 << 18
 
@@ -47,27 +50,28 @@ def _shape(word: str) -> int:
 
 
 class Shapes:
-    """Numbers and shapes of words; starts anew when full."""
+    """Numbers, shapes and hashes of words; starts anew when full."""
 
     def __init__(self):
         self.codes: dict[str, int] = {}
-        self.shape = np.zeros(MEMO, np.int64)
+        self.shape, self.hash = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Identity (within this call) and shape of each word."""
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Identity (within this call), shape and hash of each word."""
         got = list(map(self.codes.get, words))
         if None in got:
             fresh = {w for w, c in zip(words, got, strict=True) if c is None}
             if len(self.codes) + len(fresh) > len(self.shape):
                 self.codes, fresh = {}, set(words)
                 if len(fresh) > len(self.shape):
-                    self.shape = np.zeros(len(fresh), np.int64)
+                    self.shape, self.hash = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
             for w in fresh:
                 c = self.codes[w] = len(self.codes)
                 self.shape[c] = _shape(w)
+                self.hash[c] = xxhash.xxh32_intdigest(w.lower().encode("utf-8", "surrogatepass"), 3)
             got = list(map(self.codes.get, words))
         ids = np.array(got, np.int64)
-        return ids, self.shape[ids]
+        return ids, self.shape[ids], self.hash[ids]
 
 
 _shapes = Shapes()
@@ -78,7 +82,7 @@ def features(text: str | None) -> np.ndarray:
     words = text.split() if text else []
     if not words:
         return np.zeros(0, np.int32)
-    ids, s = _shapes.of(words)
+    ids, s, h1 = _shapes.of(words)
     again = np.zeros(len(ids), np.int64)
     again[1:] = ids[1:] == ids[:-1]
     s = s + 4096 * again
@@ -97,7 +101,9 @@ def features(text: str | None) -> np.ndarray:
             if not len(own):
                 break
             mixed = (own * 8 + level) * 0x9E3779B1
-            out.append((mixed ^ (mixed >> 17)) % BUCKETS)
+            out.append((mixed ^ (mixed >> 17)) % SHAPE_BUCKETS)
+    pairs = (h1[:-1] * 0x9E3779B1 + h1[1:]) & 0x7FFFFFFFFFFF
+    out += [SHAPE_BUCKETS + h % WORD_BUCKETS for h in (h1, pairs ^ (pairs >> 21))]
     return np.unique(np.concatenate(out)).astype(np.int32)
 
 
@@ -162,7 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col:
     y = got.column("label").to_numpy() if got.num_rows else np.zeros(0, int)
     order = sorted(range(len(y)), key=lambda i: (y[i], found[i].tobytes()))
     model = fit([found[i] for i in order], np.asarray(y)[order] if len(y) else y)
-    shared = spark.sparkContext.broadcast(model)  # 256 KB
+    shared = spark.sparkContext.broadcast(model)  # 1.3 MB
 
     def run(batches):
         m = shared.value

@@ -1,9 +1,11 @@
 """Operators against plain Python."""
 
+import codecs
 import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -133,10 +135,80 @@ def test_tokens(spark, small, odd_docs, tmp_path, name):
 def test_dual_descent_reaches_the_minimum():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(60, 5)), np.where(rng.random(60) > 0.5, 1.0, -1.0)
-    w, b = linear.dual_descent([(np.arange(5), r) for r in x], y, 5, c=0.7, epochs=500, tol=1e-9)
-    loss = lambda w, b: (w @ w + b * b) / 2 + 0.7 * (np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+    w, b = linear.dual_descent([(np.arange(5), r) for r in x], y, 5, c=0.7, epochs=20_000, tol=1e-10)
+    loss = lambda w, b: (w @ w + b * b) / 2 + 0.7 * np.maximum(0, 1 - y * (x @ w + b)).sum()
     best = loss(w, b)
-    assert all(loss(w + d, b + e) >= best - 1e-7 for d, e in zip(rng.normal(size=(50, 5)) * 0.01, rng.normal(size=50) * 0.01))
+    assert all(loss(w + d, b + e) >= best - 1e-6 for d, e in zip(rng.normal(size=(200, 5)) * 0.01, rng.normal(size=200) * 0.01))
+
+
+def crc_held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_quality_reads_words():
+    a, b = "a fine and careful account of the harbour", "b dull and hurried rumour of the harbour"
+    assert set(quality_nbsvm.features(a)) != set(quality_nbsvm.features(codecs.encode(a, "rot13"))) and set(quality_nbsvm.features(a)) != set(quality_nbsvm.features(b))
+
+
+def test_quality_against_brute_force(spark):
+    """Words alone tell the classes: scores are those of ratios and a hinge loss worked out in plain Python."""
+    rng = random.Random(2)
+    good, bad, both = "calm clear sound".split(), "spam junk scam".split(), "the of and in it".split()
+    rows = [(i, " ".join(rng.choices(both, k=6) + rng.choices(good if i % 2 else bad, k=2)), i % 2) for i in range(120)] + [(500, "", 1), (501, None, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_nbsvm.op3(docs, labels).collect()}
+    fit = sorted(((y, quality_nbsvm.features(t)) for i, t, y in rows if not crc_held(i)), key=lambda r: (r[0], r[1].tobytes()))
+    count = [defaultdict(int), defaultdict(int)]
+    for y, f in fit:
+        for k in f.tolist():
+            count[y][k] += 1
+    total = [sum(c.values()) + quality_nbsvm.BUCKETS for c in count]
+    ratio = lambda k: np.log((count[1][k] + 1) / total[1]) - np.log((count[0][k] + 1) / total[0])
+    value = lambda f: {k: ratio(k) / max(1.0, len(f) ** 0.5) for k in f.tolist()}
+    x, sign = [value(f) for _, f in fit], [1 if y else -1 for y, _ in fit]
+    c = [0.5 * len(fit) / sign.count(s) for s in sign]
+    w, bias, alpha = defaultdict(float), 0.0, [0.0] * len(fit)
+    order = np.random.default_rng(5)
+    for _ in range(12):
+        worst = 0
+        for i in order.permutation(len(fit)).tolist():
+            g = sign[i] * (sum(w[k] * v for k, v in x[i].items()) + bias) - 1
+            new = min(max(alpha[i] - g / (sum(v * v for v in x[i].values()) + 1), 0), c[i])
+            if new != alpha[i]:
+                worst = max(worst, abs(g))
+            step, alpha[i] = (new - alpha[i]) * sign[i], new
+            for k, v in x[i].items():
+                w[k] += step * v
+            bias += step
+        if worst < 1e-3:
+            break
+    margin = lambda f: sum(w[k] * v for k, v in value(f).items()) + bias
+    a, b = linear.logistic_scale(np.array([margin(f) for _, f in fit]), np.array([y for y, _ in fit]))
+    for i, t, y in rows:
+        want = 1 / (1 + np.exp(-(max(a, 0) * margin(quality_nbsvm.features(t)) + b)))
+        assert abs(got[i].score - want) < 1e-3 and got[i].held_out == crc_held(i) and got[i].predicted == int(got[i].score >= 0.7)
+    assert all((got[i].score > 0.5) == bool(y) for i, t, y in rows if t)
+
+
+def test_language_against_brute_force(spark):
+    """Every row is decoded as the model fitted in one place on the same rows decodes it; an equal claim goes to the lesser name."""
+    rng = random.Random(4)
+    words = {"aa": "haus baum see wasser".split(), "bb": "house tree lake water".split(), "cc": "maison arbre lac eau".split()}
+    rows = [(i, " ".join(rng.choices(words[g], k=rng.randrange(1, 12))), g if i % 9 else None) for i, g in enumerate(rng.choices("aa bb cc".split(), k=150))]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid_ecoc.op7(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    fit = [(t, g) for i, t, g in rows if g and not crc_held(i)]
+    model = langid_ecoc.fit([langid_ecoc.letters(t) for t, _ in fit], [g for _, g in fit])
+    for i, t, _ in rows:
+        f, v = langid_ecoc.features(langid_ecoc.letters(t))
+        loss = []
+        for k in range(3):
+            margins = [sum(float(model.weights[a, j]) * float(b) for a, b in zip(f, v, strict=True)) + float(model.bias[j]) for j in range(model.code.shape[1])]
+            loss.append(model.heat * sum(model.trust[k, j] * np.log1p(np.exp(-4 * model.code[k, j] * m)) for j, m in enumerate(margins)))
+        p = np.exp(-np.array(loss))
+        assert got[i][0] == model.langs[int(np.argmax(p))] and abs(got[i][1] - p.max() / p.sum()) < 1e-3
+    tie = spark.createDataFrame([(i, "same text", g) for i, g in enumerate(["xx", "yy"] * 40)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid_ecoc.op7(tie).collect()} <= {"xx", "yy"}
 
 
 def test_quality_on_held_out_rows(spark):
