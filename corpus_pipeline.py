@@ -16,9 +16,15 @@ from docloom.llm import decontaminate, langid_ecoc, line_spread, simhash_gph, te
 from docloom.llm.common import materialise, table
 
 
+#: A text that is ambiguous and whose best language is no likelier than this, little over chance among four, is in none of them.
+LEAST_SCORE = 0.3
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter at all) go."""
-    return langid_ecoc.identify(docs).where(F.col("lang_pred") != langid_ecoc.UND).select("row.*")
+    """Documents without a letter go, and those that are in no language the others are in; where none could be learned, all with letters stay."""
+    found = langid_ecoc.identify(docs)
+    none = F.col("ambiguous") & (F.col("score") < LEAST_SCORE)
+    return found.where(F.col("row.text").rlike(r"\p{L}") & ~none).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
