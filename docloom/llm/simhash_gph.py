@@ -169,18 +169,31 @@ def _signed(x: int) -> int:
 
 
 def keys(fp: Column, plan: list[tuple[list[int], int]], ball: bool = True) -> Column:
-    """The array of a fingerprint's keys; without `ball` its own value in each partition only."""
+    """The array of a fingerprint's keys, each with its way: the partition and the bits flipped. Without `ball` its own value in each partition only."""
 
     def part(k: int, group: list[int], rho: int) -> Column:
         # a constant per partition keeps the keys of different partitions apart
         own = xxhash.xxh64_intdigest(bytes([k]), SEED)
-        flips = [_signed(own ^ sum(1 << b for b in c)) for i in range((rho if ball else 0) + 1) for c in combinations(group, i)]
+        flips = [c for i in range((rho if ball else 0) + 1) for c in combinations(range(len(group)), i)]
+        ways = F.array(*[F.struct(F.lit(_signed(own ^ sum(1 << group[b] for b in c))).cast("long").alias("key"), F.lit(k << 24 | (max(c, default=-1) + 1) << 16 | min(c, default=0) << 8 | len(c)).alias("way")) for c in flips])
         value = fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
-        return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: value.bitwiseXOR(x))
+        return F.transform(ways, lambda x: F.struct(value.bitwiseXOR(x["key"]).alias("key"), x["way"].alias("way")))
 
     return F.concat(*[part(k, group, rho) for k, (group, rho) in enumerate(plan)])
 
 
+def once(way_a: Column, way_b: Column, xor: Column, plan: list[tuple[list[int], int]]) -> Column:
+    """Of all keys that two fingerprints share, exactly one: of the first partition where they are close enough, with the lower half of the differing bits flipped on side a."""
+    field = lambda way, at: F.shiftright(way, at).bitwiseAND(F.lit(255))
+    n_a, n_b = field(way_a, 0), field(way_b, 0)
+    halves = (n_b >= n_a) & (n_b <= n_a + 1) & ((n_a == 0) | (field(way_a, 16) <= field(way_b, 8)))
+    for j, (group, rho) in enumerate(plan):
+        halves = halves & ((field(way_a, 24) <= j) | (F.bit_count(xor.bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))) > 2 * rho))
+    return halves
+
+
+#: Up to so many pairs a node are verified at once; of more, the nearest go first, as they may spare the others.
+PAIRS = 4
 Near = Callable[[str, str], Column]
 
 
@@ -189,7 +202,7 @@ def star_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near,
 
     A key's star is its member of least hash, another hash each turn.
     """
-    rows = nodes.select("node", "fp", "size", "c", F.explode(keys(F.col("fp"), plan, ball=False)).alias("key"))
+    rows = nodes.select("node", "fp", "size", "c", F.explode(keys(F.col("fp"), plan, ball=False)).alias("k")).select("node", "fp", "size", "c", "k.key")
     stars = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node_s"), F.col("fp").alias("fp_s"), F.col("size").alias("size_s"), F.col("c").alias("c_s"))).alias("s"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
     stars = stars.where("c_lo < c_hi").select(F.col("key").alias("key_s"), "s.*")
     met = rows.withColumnsRenamed({"fp": "fp_a", "size": "size_a"}).join(stars.withColumnsRenamed({"fp_s": "fp_b", "size_s": "size_b"}), (F.col("key") == F.col("key_s")) & (F.col("c") != F.col("c_s")) & near("a", "b"))
@@ -198,13 +211,15 @@ def star_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near,
     return nearest.select(F.least("node", "p.other").alias("a"), F.greatest("node", "p.other").alias("b")).distinct()
 
 
-def open_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near) -> DataFrame:
-    """(a, b, bits) once per pair of different components that shares a key and is near. nodes: (node, fp, size, c)."""
-    rows = nodes.select("node", "fp", "size", "c", F.explode(keys(F.col("fp"), plan)).alias("key"))
+def open_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near, most: int | None = None) -> DataFrame:
+    """(a, b, bits) once per pair of different components that shares a key and is near; bits: their distance. nodes: (node, fp, size, c), with `most` also their wide fingerprints, which are within `most` bits."""
+    rows = nodes.select("*", F.explode(keys(F.col("fp"), plan)).alias("k")).select(*nodes.columns, "k.key", "k.way")
     a, b = (rows.toDF(*[f"{x}_{side}" for x in rows.columns]) for side in "ab")
-    bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    met = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & near("a", "b"))
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), bits.alias("bits")).distinct()
+    xor = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    # comparing is the work here, however small the tables: a merge join spreads it, a broadcast would leave it to a few tasks
+    met = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & near("a", "b") & once(F.col("way_a"), F.col("way_b"), xor, plan) & (F.lit(True) if most is None else wide_bits("a", "b") <= most))
+    bits = F.bit_count(xor) if most is None else wide_bits("a", "b")
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), bits.alias("bits"))
 
 
 def within_bits(most: int) -> Near:
@@ -313,6 +328,34 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+#: Words of a wide fingerprint; its first bits are others than those of fingerprint_of().
+WIDE = 16
+_MIX = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_of(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of 64 * WIDE bits: each hash is mixed WIDE ways, and a bit is 1 if set in over half of them."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 4096):
+        with np.errstate(over="ignore"):
+            z = hashes[at : at + 4096, None] + _MIX
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_bits(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"w{i}_{a}").bitwiseXOR(F.col(f"w{i}_{b}"))) for i in range(1, WIDE)), F.bit_count(F.col(f"w0_{a}").bitwiseXOR(F.col(f"w0_{b}"))))
+
+
+def expected_bits(similarity: float, bits: int, spread: float) -> int:
+    """How many of `bits` differ between sets of equal size and this similarity, and `spread` standard errors more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
+
+
 def similar_sizes(similarity: float, most: int) -> Near:
     """Within `most` bits, and of sizes that allow the similarity."""
     bits = within_bits(most)
@@ -321,9 +364,9 @@ def similar_sizes(similarity: float, most: int) -> Near:
 
 def suspects(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near) -> DataFrame:
     """The fp of nodes that share a key with another one that is near; each looks only until it has found one. nodes: (node, fp, size)."""
-    rows = nodes.select("fp", "size", F.explode(keys(F.col("fp"), plan)).alias("key"))
+    rows = nodes.select("fp", "size", F.explode(keys(F.col("fp"), plan)).alias("k")).select("fp", "size", "k.key")
     a, b = (rows.toDF(*[f"{x}_{side}" for x in rows.columns]) for side in "ab")
-    met = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("fp_a") != F.col("fp_b")) & near("a", "b"), "left_semi")
+    met = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("fp_a") != F.col("fp_b")) & near("a", "b"), "left_semi")
     alike = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     return met.select(F.col("fp_a").alias("fp")).union(alike).distinct()
 
@@ -345,15 +388,16 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 11, most_bits: int = 15, width: int = 5, turns: int = 3, rounds: int = 2) -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 11, most_bits: int = 15, width: int = 5, turns: int = 2, steps: int = 4) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one of the least id (null last), the first of repeated rows.
 
     Two texts link where their sets of `width`-word shingles have Jaccard `similarity` or more; groups are the components of links. A node is a
     distinct shingle set, fingerprinted over the set. Pairs within `radius` bits are all looked at, and those up to `most_bits` that share a key.
 
-    Nodes with no such neighbour at all leave first. Among the rest, `turns` rounds of stars and `rounds` rounds of nearest pairs are verified on
-    the texts, each only between components, so that a large group costs few comparisons; whatever is left is compared pair by pair.
-    Texts without words are all one node.
+    Nodes with no such neighbour at all leave first; the others get a wide fingerprint, which tells pairs far from the similarity before any text
+    is read. Among them, `turns` rounds of stars are verified on the texts, then all pairs between components, in `steps` steps from the nearest
+    to those whose wide fingerprints just allow the similarity: so most of a large group is one component before its many far pairs are looked
+    at, and those inside it need no look. Texts without words are all one node.
     """
     require(docs, id_col, text_col)
     small_batches(docs.sparkSession)
@@ -378,29 +422,36 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     odd = materialise(some.join(odd.withColumnRenamed("fp", "fp_odd").hint("merge"), F.col("fp") == F.col("fp_odd"), "left_semi"), "suspects", narrow=True)
     wanted = odd.select(F.col("rid").alias("wanted")).hint("merge")
     texts = materialise(rows.select("rid", "node", F.col("row").getField(text_col).alias("text")).join(wanted, F.col("rid") == F.col("wanted"), "left_semi").select("node", "text"), "suspect-texts")
-    odd = odd.select("node", "fp", "size")
-    found = odd.sparkSession.createDataFrame([], "a long, b long")
-    roots = found.toDF("node", "root")
+
+    def widen(batches):
+        for batch in batches:
+            wide = np.array([wide_of(shingle_set(t, width)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in wide.T)], names=["wide_node", *(f"w{i}" for i in range(WIDE))])
+
+    wide = texts.mapInArrow(widen, "wide_node long, " + ", ".join(f"w{i} long" for i in range(WIDE)))
+    odd = materialise(odd.select("node", "fp", "size").join(wide, F.col("node") == F.col("wide_node")).drop("wide_node"), "wide", narrow=True)
+    # few nodes take few and short keys
+    short = allocate(*bit_counts(odd), radius, most_parts=radius + 1)
+    most_at_once = PAIRS * odd.count()
+    roots = odd.sparkSession.createDataFrame([], "node long, root long")
 
     def look(pairs: DataFrame) -> None:
-        nonlocal found, roots
-        found = found.union(materialise(verified(pairs, texts, similarity, width), "verified", narrow=True))
-        roots = components(found)
+        nonlocal roots
+        roots = components(roots.union(materialise(verified(pairs, texts, similarity, width), "verified", narrow=True)).toDF("a", "b"))
 
     for turn in range(turns):
-        look(star_pairs(labelled(odd, roots), plan, near, turn))
-    todo = materialise(open_pairs(labelled(odd, roots), plan, near), "open-pairs", narrow=True)
-    for _ in range(rounds):
-        ways = todo.select(F.col("a").alias("u"), F.col("b").alias("v"), "bits", "a", "b").union(todo.select(F.col("b"), F.col("a"), "bits", "a", "b"))
-        nearest = materialise(ways.groupBy("u").agg(F.min(F.struct("bits", "v", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest", narrow=True)
-        look(nearest)
-        done, one, two = nearest.toDF("done_a", "done_b"), roots.toDF("node_a", "root_a"), roots.toDF("node_b", "root_b")
-        left = todo.join(done, (F.col("a") == F.col("done_a")) & (F.col("b") == F.col("done_b")), "left_anti")
-        left = left.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
-        todo = materialise(left.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "bits"), "open-pairs", narrow=True)
-        if todo.isEmpty():
-            break
-    else:
+        look(star_pairs(labelled(odd.select("node", "fp", "size"), roots), plan, near, turn))
+    for step in range(steps):
+        # steps of even width from the similarity up to 1
+        most = expected_bits(similarity + (1 - similarity) * (steps - 1 - step) / (steps + 1), 64 * WIDE, 2.3)
+        todo = materialise(open_pairs(labelled(odd, roots), short, near, most), "open-pairs")
+        if todo.count() > most_at_once:
+            # of each node the nearest pair first, then what is still open
+            ways = todo.select(F.col("a").alias("u"), F.col("b").alias("v"), "bits", "a", "b").union(todo.select(F.col("b"), F.col("a"), "bits", "a", "b"))
+            look(ways.groupBy("u").agg(F.min(F.struct("bits", "v", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+            one, two = roots.toDF("node_a", "root_a"), roots.toDF("node_b", "root_b")
+            left = todo.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+            todo = materialise(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-pairs", narrow=True)
         look(todo)
     named = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("keep"))

@@ -663,6 +663,20 @@ def test_components_by_any_allocation(spark, plan):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+@pytest.mark.parametrize("plan", [[(range(64), 2)], [(range(32), 1), (range(32, 64), 2)], [(range(0, 64, 3), 0), (range(1, 64, 3), 1), (range(2, 64, 3), 1)]])
+def test_a_pair_is_met_once(spark, plan):
+    """Whatever keys two fingerprints share, they are one pair, and every pair close enough in some partition is one."""
+    random.seed(16)
+    center = random.getrandbits(64)
+    fps = sorted({signed(center ^ sum(1 << b for b in random.sample(range(64), random.randrange(5)))) for _ in range(120)})
+    plan = [(list(g), rho) for g, rho in plan]
+    nodes = spark.createDataFrame([(f, f, 0, f) for f in fps], "node long, fp long, size int, c long")
+    got = Counter((r.a, r.b, r.bits) for r in simhash_gph.open_pairs(nodes, plan, simhash_gph.within_bits(7)).collect())
+    differ = lambda a, b, g=range(64): sum((a ^ b) >> k & 1 for k in g)
+    want = {(a, b, differ(a, b)) for a, b in itertools.combinations(fps, 2) if differ(a, b) <= 7 and any(differ(a, b, g) <= 2 * rho for g, rho in plan)}
+    assert set(got) == want and set(got.values()) == {1}
+
+
 def test_the_plan_covers_the_radius():
     rng = np.random.default_rng(0)
     for radius in (0, 3, 11):
