@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.sources.detect import GLOB, file_type
@@ -13,7 +14,8 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 def stream_elements(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     raw = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", GLOB).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return elements(raw.where(raw.length <= MOST).select("path", "content", file_type(raw.path, raw.content).alias("file_type")))
+    content = F.when(raw.length <= MOST, raw.content)
+    return elements(raw.select("path", content.alias("content"), file_type(raw.path, content).alias("file_type")))
 
 
 def stream_markdown(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -112,7 +112,7 @@ def test_nms_against_brute_force(spark):
 def test_parsers():
     assert [c[2:5] for c in ooxml.xlsx_cells(make_xlsx([["a", "b"], ["1", "<"]]))] == [(1, 1, "a"), (1, 2, "b"), (2, 1, "1"), (2, 2, "<")]
     assert [e[1:] for e in ooxml.docx_elements(make_docx("T", "x", [["1"]]))] == [("heading", 1, "T", None), ("paragraph", 0, "x", None), ("table", 0, None, [["1"]])]
-    assert [e[2:5] for e in ooxml.pptx_elements(make_pptx("T", "x"))] == [("title", 0, "T"), ("text", 0, "x")]
+    assert [e[2:5] for e in ooxml.pptx_elements(make_pptx("T", "x"))] == [("title", 2, "T"), ("text", 0, "x"), ("rule", 0, None)]
     assert jtd.lines(make_jtd(["日本", " ", "𠮷"])) == ["日本", "𠮷"]
     assert jtd.lines(b"short") == [] and jtd.content_start(b"x" * 64) == -1
 
