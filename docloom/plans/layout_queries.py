@@ -98,12 +98,15 @@ def list_levels(spark, sf_dir):
     return L.list_levels(table(spark, sf_dir, "events").selectExpr("user_id AS doc", "event_id AS seq", f"{MARK} AS marker"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS page, round_even(l_partkey % 200 / 5.0, 0) * 5 AS y, round_even(l_suppkey % 30 * 7 / 20.0, 0) * 20 AS x, length(l_returnflag || l_quantity) AS n FROM lineitem),
-r AS (SELECT page, y FROM c GROUP BY page, y HAVING count(DISTINCT x) >= 2 AND max(n) > 3),
+SPANS = ("l_suppkey AS page", "CAST(l_partkey % 12 * (10 + l_suppkey % 60) AS double) AS y", "CAST(l_orderkey % 30 * 7 AS double) AS x", "CASE WHEN l_partkey % 5 = 0 THEN l_returnflag ELSE l_returnflag || l_shipdate END AS text")
+
+
+@query(f"""WITH c AS (SELECT page, round_even(y / 5, 0) * 5 AS y, round_even(x / 20, 0) * 20 AS x, length(text) AS n FROM (SELECT {', '.join(SPANS)} FROM lineitem WHERE l_linenumber % 2 = 1)),
+r AS (SELECT page, y FROM c GROUP BY page, y HAVING count(DISTINCT x) >= 3 AND max(n) > 3),
 t AS (SELECT page, y, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y ROWS UNBOUNDED PRECEDING) AS t FROM (SELECT page, y, coalesce(y - lag(y) OVER (PARTITION BY page ORDER BY y) >= 50, true) AS fresh FROM r))
-SELECT page, min(y) AS top, max(y) AS bottom, count(*) AS n_rows FROM t GROUP BY page, t HAVING count(*) >= 2""".replace("l_orderkey AS page, round_even(l_partkey", "l_suppkey AS page, round_even(l_partkey").replace(">= 2 AND max", ">= 3 AND max"))
+SELECT page, min(y) AS top, max(y) AS bottom, count(*) AS n_rows FROM t GROUP BY page, t HAVING count(*) >= 2""".replace(" WHERE l_linenumber % 2 = 1", ""))
 def text_tables(spark, sf_dir):
-    return L.text_tables(lineitem(spark, sf_dir, "l_suppkey AS page", "CAST(l_partkey % 200 AS double) AS y", "CAST(l_suppkey % 30 * 7 AS double) AS x", "l_returnflag || l_quantity AS text").selectExpr("page", "y", "x", "text"))
+    return L.text_tables(lineitem(spark, sf_dir, *SPANS))
 
 
 @query(r"""WITH p AS (SELECT conv_id AS doc, turn AS page, text, regexp_extract(text, '^([^\n]*)', 1) AS first, regexp_extract(lag(text) OVER w, '([^\n]*)$', 1) AS prior, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -157,6 +160,11 @@ def figure_components(spark, sf_dir):
     return G.components(boxes, G.near_edges(boxes))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS k FROM (SELECT {', '.join(BOX)}, l_extendedprice AS score FROM lineitem)),
+r AS (SELECT DISTINCT grp, CAST(0 AS bigint) AS k, CAST([] AS struct(id bigint, x0 double, y0 double, x1 double, y1 double, score double)[]) AS kept FROM o
+ UNION ALL SELECT r.grp, o.k, CASE WHEN len(list_filter(r.kept, lambda q: greatest(0, least(o.x1, q.x1) - greatest(o.x0, q.x0)) * greatest(0, least(o.y1, q.y1) - greatest(o.y0, q.y0))
+  > 0.35 * ((o.x1 - o.x0) * (o.y1 - o.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) - greatest(0, least(o.x1, q.x1) - greatest(o.x0, q.x0)) * greatest(0, least(o.y1, q.y1) - greatest(o.y0, q.y0)) + 1e-9))) = 0
+  THEN list_append(r.kept, {{'id': CAST(o.id AS bigint), 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'score': o.score}}) ELSE r.kept END FROM r JOIN o ON o.grp = r.grp AND o.k = r.k + 1),
+l AS (SELECT grp, arg_max(kept, k) AS kept FROM r GROUP BY grp) SELECT grp, q.id AS id, q.x0 AS x0, q.y0 AS y0, q.x1 AS x1, q.y1 AS y1, q.score AS score FROM (SELECT grp, unnest(kept) AS q FROM l)""")
 def nms(spark, sf_dir):
     return G.nms(lineitem(spark, sf_dir, *BOX, "l_extendedprice AS score"))

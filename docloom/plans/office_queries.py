@@ -165,10 +165,14 @@ def column_map_nearest(spark, sf_dir):
     return E.place_cells(table(spark, sf_dir, "lineitem").selectExpr(*PLACED))
 
 
-@query()
+@query("""WITH r AS (SELECT o_custkey AS tbl, o_orderkey AS row, [CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderpriority END] AS cells FROM orders),
+l AS (SELECT tbl, list([cells] ORDER BY row) AS rows FROM r GROUP BY tbl),
+m AS (SELECT tbl, list_reduce(rows, lambda a, b: CASE WHEN (a[-1][1] <> '' AND b[1][1] <> '') OR (a[-1][2] <> '' AND b[1][2] <> '') THEN list_concat(a, b) ELSE list_concat(a[:-2], [[a[-1][1] || b[1][1], a[-1][2] || b[1][2]]]) END) AS rows FROM l)
+SELECT tbl, len(rows) AS n_rows, array_to_string(list_transform(rows, lambda r: r[1] || '|' || r[2]), chr(10)) AS rows FROM m""")
 def continuation_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS tbl", "o_orderkey AS row", "array(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderpriority END) AS cells")
-    return E.merge_continuations(rows)
+    merged = E.merge_continuations(rows)
+    return merged.select("tbl", F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"))
 
 
 @query("""WITH l AS (SELECT source AS doc, doc_id AS seq, n_chars % 5 * 350 AS font, text FROM documents), c AS (SELECT doc, font, count(*) AS n, min(seq) AS seen FROM l WHERE trim(text) <> '' AND font > 0 GROUP BY doc, font)

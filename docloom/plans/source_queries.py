@@ -235,12 +235,12 @@ def make_stream(name: str, balance: str, nation: str) -> bytes:
     return head + b"\0" * (len(head) % 2) + body + end
 
 
-@query(f"SELECT s_name || '.xlsx' AS path, {_sql_lines("'# ' || s_name", "'## S (Sheet Data)'", "'### List of ' || s_name", "'| Who | Money<br>now | Money<br>then |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || s_name || ' | ' || b || ' | a\|b |' || chr(10) || '| ' || s_nationkey || ' | x |  |'", "'※ only a note'", "'① the first thing that is to be said'", "'② another thing that is to be said'", "'③ the last thing that is to be said'", "'## T (Sheet Data)'", "'| key | n | day |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| p | 1 | 2023-03-15 00:00:00 |' || chr(10) || '| q | 2.5 | 2023-03-15 12:00:00 |' || chr(10) || '| ' || s_nationkey || ' | 3 |  |'", "'### Chart: Sums'", "'| Category | n | n |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| p | 1 | 7 |' || chr(10) || '| q | 2.50 |  |' || chr(10) || '| q | 2.50 |  |' || chr(10) || '| ' || s_nationkey || ' | 3 |  |'", "'![image](images/' || substr(sha256('png of ' || s_nationkey), 1, 16) || '.png)'")} AS md, CAST(NULL AS varchar) AS error FROM (SELECT *, CAST(s_acctbal AS varchar) AS b FROM supplier)")
+@query(f"SELECT s_name || '.xlsx' AS path, {_sql_lines("'# ' || s_name", "'## S (Sheet Data)'", "'### List of ' || s_name", "'| Who | Money<br>now | Money<br>then |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || s_name || ' | ' || b || ' | a\\|b |' || chr(10) || '| ' || s_nationkey || ' | x |  |'", "'※ only a note'", "'① the first thing that is to be said'", "'② another thing that is to be said'", "'③ the last thing that is to be said'", "'## T (Sheet Data)'", "'| key | n | day |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| p | 1 | 2023-03-15 00:00:00 |' || chr(10) || '| q | 2.5 | 2023-03-15 12:00:00 |' || chr(10) || '| ' || s_nationkey || ' | 3 |  |'", "'### Chart: Sums'", "'| Category | n | n |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| p | 1 | 7 |' || chr(10) || '| q | 2.50 |  |' || chr(10) || '| q | 2.50 |  |' || chr(10) || '| ' || s_nationkey || ' | 3 |  |'", "'![image](images/' || substr(sha256('png of ' || s_nationkey), 1, 16) || '.png)'")} AS md, CAST(NULL AS varchar) AS error FROM (SELECT *, CAST(s_acctbal AS varchar) AS b FROM supplier)")
 def xlsx_to_markdown(spark, sf_dir):
     return S.markdown(S.elements(_files(_suppliers(spark, sf_dir), make_book, "xlsx")))
 
 
-@query(f"SELECT s_name || '.docx' AS path, {_sql_lines("'# ' || s_name", "'## ' || s_name", "'**Bold** and <sup>up</sup>$x^{2}$'", "'$$x^{2} x^{2}$$'", "'- one' || chr(10) || '  - two' || chr(10) || '1. three' || chr(10) || '- four'", "'balance ' || CAST(s_acctbal AS varchar)", "'| a | b\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || s_nationkey || '<br>more |  |'", "'<details>' || chr(10) || '<summary>図形内テキスト</summary>'", "'unsaid ' || s_nationkey", "'</details>'", "'### Chart'", "'| X | Series1 |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 6.25 |' || chr(10) || '| 2 | 5 |'", "'![image](images/' || substr(sha256('png of ' || s_nationkey), 1, 16) || '.png)'")} AS md, CAST(NULL AS varchar) AS error FROM supplier")
+@query(f"SELECT s_name || '.docx' AS path, {_sql_lines("'# ' || s_name", "'## ' || s_name", "'**Bold** and <sup>up</sup>$x^{2}$'", "'$$x^{2} x^{2}$$'", "'- one' || chr(10) || '  - two' || chr(10) || '1. three' || chr(10) || '- four'", "'balance ' || CAST(s_acctbal AS varchar)", "'| a | b\\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || s_nationkey || '<br>more |  |'", "'<details>' || chr(10) || '<summary>図形内テキスト</summary>'", "'unsaid ' || s_nationkey", "'</details>'", "'### Chart'", "'| X | Series1 |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 6.25 |' || chr(10) || '| 2 | 5 |'", "'![image](images/' || substr(sha256('png of ' || s_nationkey), 1, 16) || '.png)'")} AS md, CAST(NULL AS varchar) AS error FROM supplier")
 def docx_to_markdown(spark, sf_dir):
     return S.markdown(S.elements(_files(_suppliers(spark, sf_dir), make_letter, "docx")))
 
@@ -260,7 +260,7 @@ def jtd_extract(spark, sf_dir):
     return S.elements(_files(_suppliers(spark, sf_dir), lambda a, b, c: make_jtd([f"{a}様", " ", f"国{c}"]), "jtd")).select("path", "file_type", "seq", "text")
 
 
-@query(f"SELECT s_name || '.jtd' AS path, {_sql_lines("'# ' || s_name", "'## ' || s_name || '様'", "'国' || s_nationkey", "'残高' || CAST(s_acctbal AS varchar)", "'**太い**'", "'| 列\|1 | 列2 |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || s_name || ' | 続き | ' || s_nationkey || ' |'", "'終わり'")} AS md, CAST(NULL AS varchar) AS error FROM supplier")
+@query(f"SELECT s_name || '.jtd' AS path, {_sql_lines("'# ' || s_name", "'## ' || s_name || '様'", "'国' || s_nationkey", "'残高' || CAST(s_acctbal AS varchar)", "'**太い**'", "'| 列\\|1 | 列2 |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || s_name || ' | 続き | ' || s_nationkey || ' |'", "'終わり'")} AS md, CAST(NULL AS varchar) AS error FROM supplier")
 def jtd_to_markdown(spark, sf_dir):
     return S.markdown(S.elements(_files(_suppliers(spark, sf_dir), make_stream, "jtd")))
 
@@ -305,7 +305,33 @@ def broken_file_rows(spark, sf_dir):
     return S.elements(bad).select("path", F.substring_index("error", ":", 1).alias("error"))
 
 
-@query("SELECT n_nationkey, '\\frac{' || replace(n_name, '_', '\\_') || '}{x^{2}}+\\sqrt{\\alpha }' AS latex FROM nation")
+def _maths() -> list[tuple[str, str]]:
+    """Each construct as XML, and as LaTeX; ¤ stands for a name."""
+    r = lambda t: f"<m:r><m:t>{t}</m:t></m:r>"
+    e = lambda x, tag="e": f"<m:{tag}>{x}</m:{tag}>"
+    n = r("¤")
+    frac = lambda kind: f'<m:f><m:fPr><m:type m:val="{kind}"/></m:fPr>{e(n, "num")}{e(r("2"), "den")}</m:f>'
+    return [
+        (frac("bar"), r"\frac{¤}{2}"), (frac("skw"), "^{¤}/_{2}"), (frac("noBar"), r"\genfrac{}{}{0pt}{}{¤}{2}"), (frac("lin"), "{¤}/{2}"),
+        (f"<m:sSup>{e(n)}{e(r('2'), 'sup')}</m:sSup>", "¤^{2}"), (f"<m:sSub>{e(n)}{e(r('i'), 'sub')}</m:sSub>", "¤_{i}"), (f"<m:sSubSup>{e(n)}{e(r('i'), 'sub')}{e(r('2'), 'sup')}</m:sSubSup>", "¤_{i}^{2}"),
+        (f"<m:rad><m:deg/>{e(n)}</m:rad>", r"\sqrt{¤}"), (f"<m:rad>{e(r('3'), 'deg')}{e(n)}</m:rad>", r"\sqrt[3]{¤}"),
+        (f'<m:acc><m:accPr><m:chr m:val="&#x303;"/></m:accPr>{e(n)}</m:acc>', r"\tilde{¤}"), (f'<m:bar><m:barPr><m:pos m:val="top"/></m:barPr>{e(n)}</m:bar>', r"\overline{¤}"),
+        (f'<m:d><m:dPr><m:begChr m:val="["/><m:endChr m:val=""/></m:dPr>{e(n)}</m:d>', r"\left[¤\right."), (f'<m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr>{e(r("i=1"), "sub")}{e(r("k"), "sup")}{e(n)}</m:nary>', r"\sum_{i=1}^{k}{¤}"),
+        (f"<m:func>{e(r('sin'), 'fName')}{e(n)}</m:func>", r"\sin(¤)"), (f"<m:limLow>{e(r('lim'))}{e(n, 'lim')}</m:limLow>", r"\lim_{¤}"), (f"<m:limUpp>{e(n)}{e(r('*'), 'lim')}</m:limUpp>", r"\overset{*}{¤}"),
+        (f"<m:groupChr>{e(n)}</m:groupChr>", r"\underbrace{¤}"), (f"<m:m><m:mr>{e(n)}{e(r('0'))}</m:mr><m:mr>{e(r('1'))}{e(r('x'))}</m:mr></m:m>", r"\begin{matrix}¤ & 0 \\ 1 & x\end{matrix}"),
+        (f"<m:eqArr>{e(n)}{e(r('0'))}</m:eqArr>", r"\begin{array}{c}¤ \\ 0\end{array}"), (f"<m:box>{e(n)}</m:box>", "¤"), (r("¤#α%"), r"¤\#\alpha \%"),
+    ]
+
+
+MATHS = _maths()
+
+
+def _maths_sql() -> str:
+    cases = " ".join(f"WHEN {k} THEN replace('{latex}', '¤', replace(n_name, '_', chr(92) || '_'))" for k, (_, latex) in enumerate(MATHS))
+    return f"SELECT n_nationkey, CASE n_nationkey % {len(MATHS)} {cases} END AS latex FROM nation"
+
+
+@query(_maths_sql())
 def omml_to_latex(spark, sf_dir):
     ship(spark)
 
@@ -315,7 +341,7 @@ def omml_to_latex(spark, sf_dir):
 
         return x.map(to_latex)
 
-    m = f"{OFFICE}/officeDocument/2006/math"
-    r = lambda t: f"<m:r><m:t>{t}</m:t></m:r>"
-    parts = f"<m:oMath xmlns:m=\"{m}\"><m:f><m:num><m:r><m:t>", f"</m:t></m:r></m:num><m:den><m:sSup><m:e>{r('x')}</m:e><m:sup>{r('2')}</m:sup></m:sSup></m:den></m:f>{r('+')}<m:rad><m:deg/><m:e>{r('α')}</m:e></m:rad></m:oMath>"
-    return table(spark, sf_dir, "nation").select("n_nationkey", latex(F.concat(F.lit(parts[0]), "n_name", F.lit(parts[1]))).alias("latex"))
+    whole = f'<m:oMath xmlns:m="{OFFICE}/officeDocument/2006/math">{{}}</m:oMath>'
+    forms = F.array(*[F.lit(whole.format(xml)) for xml, _ in MATHS])
+    xml = F.replace(F.get(forms, (F.col("n_nationkey") % len(MATHS)).cast("int")), F.lit("¤"), F.col("n_name"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", latex(xml).alias("latex"))
