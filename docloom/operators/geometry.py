@@ -1,7 +1,7 @@
 """Boxes: measures, removal of overlapping and contained ones, components, non-maximum suppression.
 
-Pairs are joined by their group (a page or sheet) and, where boxes may be many,
-by the cells of a grid they touch.
+Pairs are joined by their group (a page or sheet) and the cells of a grid that
+they reach.
 """
 
 from __future__ import annotations
@@ -36,45 +36,56 @@ def contains(outer: str, inner: str, margin: float = 10.0) -> Column:
     return (i("x0") >= o("x0") - margin) & (i("y0") >= o("y0") - margin) & (i("x1") <= o("x1") + margin) & (i("y1") <= o("y1") + margin)
 
 
-def pairs(boxes: DataFrame) -> DataFrame:
-    """Pairs a, b of different boxes of a group; boxes(grp, id, x0, y0, x1, y1)."""
-    return boxes.alias("a").join(boxes.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.id") != F.col("b.id")))
+def touching(boxes: DataFrame, dx: float = 0.0, dy: float = 0.0, cell: float = 256.0) -> DataFrame:
+    """Pairs a, b of different boxes of a group whose gaps are at most dx and dy, each way round; boxes(grp, id, x0, y0, x1, y1).
+
+    Boxes meet in the cells of a grid that they reach, so a group of many boxes
+    costs what lies near each other; of all cells that two share, the pair
+    comes from that of their upper left corner.
+    """
+    at = lambda x: F.floor(x / cell)
+    low = lambda t, n, d: F.col(f"{t}{n}0") - d / 2
+    own = boxes.select("*", F.explode(F.sequence(at(low("", "x", dx)), at(F.col("x1") + dx / 2))).alias("cx")).select("*", F.explode(F.sequence(at(low("", "y", dy)), at(F.col("y1") + dy / 2))).alias("cy"))
+    corner = (F.col("a.cx") == at(F.greatest(low("a.", "x", dx), low("b.", "x", dx)))) & (F.col("a.cy") == at(F.greatest(low("a.", "y", dy), low("b.", "y", dy))))
+    same = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    return own.alias("a").join(own.alias("b"), same & (F.col("a.id") != F.col("b.id")) & corner)
 
 
-def measures(boxes: DataFrame) -> DataFrame:
-    """Per pair id < other: share of the smaller area, of the shorter side in x and y, and whether one contains the other."""
-    both = pairs(boxes).where("a.id < b.id")
+def measures(boxes: DataFrame, margin: float = 10.0) -> DataFrame:
+    """Per pair id < other whose gaps are at most `margin`: share of the smaller area, of the shorter side in x and y, and whether one contains the other."""
+    both = touching(boxes, margin, margin).where("a.id < b.id")
     side = lambda t, n: F.col(f"{t}.{n}1") - F.col(f"{t}.{n}0")
+    gap = lambda n: F.greatest(F.col(f"a.{n}0"), F.col(f"b.{n}0")) - F.least(F.col(f"a.{n}1"), F.col(f"b.{n}1"))
     share = lambda n: overlap_1d(F.col(f"a.{n}0"), F.col(f"a.{n}1"), F.col(f"b.{n}0"), F.col(f"b.{n}1")) / F.nullif(F.least(side("a", n), side("b", n)), F.lit(0.0))
-    return both.select(
+    return both.where((gap("x") <= margin) & (gap("y") <= margin)).select(
         F.col("a.grp").alias("grp"),
         F.col("a.id").alias("id"),
         F.col("b.id").alias("other"),
         F.round(overlap_area() / F.nullif(F.least(area("a"), area("b")), F.lit(0.0)), 6).alias("share"),
         F.round(share("x"), 6).alias("share_x"),
         F.round(share("y"), 6).alias("share_y"),
-        (contains("a", "b") | contains("b", "a")).alias("nested"),
+        (contains("a", "b", margin) | contains("b", "a", margin)).alias("nested"),
     )
 
 
 def drop_contained(boxes: DataFrame, margin: float = 10.0) -> DataFrame:
     """Without boxes inside a larger one (of equal ones the lesser id stays)."""
     larger = (area("b") > area("a")) | ((area("b") == area("a")) & (F.col("b.id") < F.col("a.id")))
-    inside = pairs(boxes).where(contains("b", "a", margin) & larger).select(F.col("a.grp").alias("g"), F.col("a.id").alias("i")).distinct()
+    inside = touching(boxes, margin, margin).where(contains("b", "a", margin) & larger).select(F.col("a.grp").alias("g"), F.col("a.id").alias("i")).distinct()
     return boxes.join(inside, (F.col("grp") == F.col("g")) & (F.col("id") == F.col("i")), "left_anti")
 
 
 def drop_overlapping(boxes: DataFrame, most: float = 0.5) -> DataFrame:
     """Of two boxes that share `most` of the smaller or more, the larger stays (the first on a tie)."""
     larger = (area("b") > area("a")) | ((area("b") == area("a")) & (F.col("b.id") < F.col("a.id")))
-    lost = pairs(boxes).where((overlap_area() >= most * F.least(area("a"), area("b"))) & (overlap_area() > 0) & larger).select(F.col("a.grp").alias("g"), F.col("a.id").alias("i")).distinct()
+    lost = touching(boxes).where((overlap_area() >= most * F.least(area("a"), area("b"))) & (overlap_area() > 0) & larger).select(F.col("a.grp").alias("g"), F.col("a.id").alias("i")).distinct()
     return boxes.join(lost, (F.col("grp") == F.col("g")) & (F.col("id") == F.col("i")), "left_anti")
 
 
 def near_edges(boxes: DataFrame, dx: float = 100.0, dy: float = 40.0) -> DataFrame:
     """(grp, a, b), a < b: boxes whose gaps are at most dx and dy."""
     gap = lambda n: F.greatest(F.col(f"a.{n}0"), F.col(f"b.{n}0")) - F.least(F.col(f"a.{n}1"), F.col(f"b.{n}1"))
-    return pairs(boxes).where((F.col("a.id") < F.col("b.id")) & (gap("x") <= dx) & (gap("y") <= dy)).select(F.col("a.grp").alias("grp"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return touching(boxes, dx, dy).where((F.col("a.id") < F.col("b.id")) & (gap("x") <= dx) & (gap("y") <= dy)).select(F.col("a.grp").alias("grp"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def per_group(df: DataFrame, key: str, order: list[str], fn: Callable[[list[tuple]], list[tuple]], schema: T.StructType) -> DataFrame:

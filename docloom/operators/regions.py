@@ -88,12 +88,19 @@ def superscripts(lines: DataFrame, base: float) -> DataFrame:
 
     def run(rows: list[tuple]) -> list[tuple]:
         text, gone = {r[1]: r[6] for r in rows}, set()
+        # small lines by bands of ten points: what is at about the same height is in a line's band or beside it
+        bands: dict[int, list[int]] = {}
+        for k, r in enumerate(rows):
+            if r[5] < 0.7 * base:
+                bands.setdefault(int(r[4] // 10), []).append(k)
         for p, i, _, x1, y, _, _ in rows:
             if i in gone:
                 continue
-            for _, j, left, _, y2, size, _ in rows:
+            band = int(y // 10)
+            for k in sorted(k for b in (band - 1, band, band + 1) for k in bands.get(b, ())):
+                _, j, left, _, y2, _, _ = rows[k]
                 mark = text[j].strip()
-                if i != j and j not in gone and abs(y - y2) < 10 and size < 0.7 * base and 0 < len(mark) <= 15 and abs(x1 - left) < 10:
+                if i != j and j not in gone and abs(y - y2) < 10 and 0 < len(mark) <= 15 and abs(x1 - left) < 10:
                     text[i] = f"{text[i].rstrip()}<sup>{mark}</sup>"
                     gone.add(j)
                     break

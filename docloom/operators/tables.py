@@ -110,11 +110,15 @@ def clip_boxes(boxes: DataFrame, lines: DataFrame, pad: float = 20.0, least: flo
 
     Padding ends 5 points short of the caption below and of the body line above; a clip is `least` high at least.
     """
-    l = lines.select(F.col("page").alias("p"), "y", "kind")
-    j = boxes.join(l, F.col("page") == F.col("p"), "left")
-    below = F.min(F.when((F.col("kind") == "caption") & (F.col("y") >= F.col("y1")), F.col("y")))
-    above = F.max(F.when((F.col("kind") == "body") & (F.col("y") <= F.col("y0")), F.col("y")))
-    found = j.groupBy("page", "id", "y0", "y1").agg(below.alias("below"), above.alias("above"))
+    # captions and the lower edges of boxes from the bottom up, body lines and upper edges from the top down: the last one passed is the nearest
+    def nearest(own: DataFrame, kind: str, edge: str, down: bool, name: str) -> DataFrame:
+        marks = lines.where(F.col("kind") == kind).select("page", F.lit(None).alias("box"), "y", F.lit(0).alias("late"))
+        both = marks.union(own.select("page", F.struct(*own.columns).alias("box"), F.col(edge), F.lit(1)))
+        w = W.partitionBy("page").orderBy(F.col("y") if down else -F.col("y"), "late").rowsBetween(*UPTO)
+        passed = F.last(F.when(F.col("late") == 0, F.col("y")), ignorenulls=True).over(w)
+        return both.withColumn(name, passed).where("late = 1").select("box.*", name)
+
+    found = nearest(nearest(boxes.select("page", "id", "y0", "y1"), "caption", "y1", False, "below"), "body", "y0", True, "above")
     top = F.greatest(F.col("y0") - pad, F.coalesce(F.col("above") + 5, F.col("y0") - pad), F.lit(0.0))
     bottom = F.least(F.col("y1") + pad, F.coalesce(F.col("below") - 5, F.col("y1") + pad))
     return found.select("page", "id", top.alias("top"), bottom.alias("end")).select("page", "id", "top", F.greatest(F.col("end"), F.col("top") + least).alias("bottom"))

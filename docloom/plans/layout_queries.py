@@ -137,7 +137,7 @@ LARGER = f"({AREA.format('b')} > {AREA.format('a')} OR ({AREA.format('b')} = {AR
 
 @query(f"""WITH {SQL_BOX} SELECT a.grp, a.id, b.id AS other, round({OVERLAP} / least({AREA.format('a')}, {AREA.format('b')}), 6) AS share,
  round(greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / least(a.x1 - a.x0, b.x1 - b.x0), 6) AS share_x, round(greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(a.y1 - a.y0, b.y1 - b.y0), 6) AS share_y,
- ({INSIDE.format('a', 'b')}) OR ({INSIDE.format('b', 'a')}) AS nested FROM boxes a JOIN boxes b ON a.grp = b.grp AND a.id < b.id""")
+ ({INSIDE.format('a', 'b')}) OR ({INSIDE.format('b', 'a')}) AS nested FROM boxes a JOIN boxes b ON a.grp = b.grp AND a.id < b.id AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 10 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 10""")
 def box_geometry(spark, sf_dir):
     return G.measures(lineitem(spark, sf_dir, *BOX))
 
