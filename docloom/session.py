@@ -47,7 +47,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/docloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/docloom/{label}-{uuid.uuid4().hex}"
+    made(spark).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """Paths given out in this session so far, in order."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_docloom_made"):
+        sc._docloom_made = []
+    return sc._docloom_made
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what was written under the paths given out since a point, but for the last `keep` of them.
+
+    For a caller that has its result written: frames that still read these paths fail afterwards.
+    """
+    paths = made(spark)
+    end = len(paths) - keep
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    del paths[since:end]
 
 
 def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
