@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, langid_ecoc, line_spread, simhash_gph, temperature_mix
 from docloom.llm.common import materialise, table
+from docloom.session import made, sweep
 
 
 #: A text that is ambiguous and whose best language is no likelier than this, little over chance among four, is in none of them.
@@ -62,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage; what a stage wrote on the way goes when the next one's result is written."""
+    docs, since = table(spark, sf_dir, "documents"), len(made(spark))
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        sweep(spark, since, keep=1)
     return docs
 
 
