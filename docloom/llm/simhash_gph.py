@@ -134,7 +134,7 @@ def shared_keys(width: int, rho: int, d: int) -> int:
 
 
 #: What it costs to make, move and sort a row, in comparisons.
-ROW = 30
+ROW = 8
 
 
 def allocate(n: int, both: np.ndarray, radius: int = 3, most_parts: int = 8, most_rho: int = 3) -> list[tuple[list[int], int]]:
@@ -198,17 +198,18 @@ Near = Callable[[str, str], Column]
 
 
 def star_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near, turn: int) -> DataFrame:
-    """(a, b) once per pair: each node with the nearest of its keys' stars that is in another component. nodes: (node, fp, size, c).
+    """(a, b) once per pair: each node with the nearest of its keys' stars that is in another component. nodes: (node, fp, .., size, c).
 
     A key's star is its member of least hash, another hash each turn.
     """
-    rows = nodes.select("node", "fp", "size", "c", F.explode(keys(F.col("fp"), plan, ball=False)).alias("k")).select("node", "fp", "size", "c", "k.key")
-    stars = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node_s"), F.col("fp").alias("fp_s"), F.col("size").alias("size_s"), F.col("c").alias("c_s"))).alias("s"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    stars = stars.where("c_lo < c_hi").select(F.col("key").alias("key_s"), "s.*")
-    met = rows.withColumnsRenamed({"fp": "fp_a", "size": "size_a"}).join(stars.withColumnsRenamed({"fp_s": "fp_b", "size_s": "size_b"}), (F.col("key") == F.col("key_s")) & (F.col("c") != F.col("c_s")) & near("a", "b"))
+    own = nodes.columns
+    rows = nodes.select(*own, F.explode(keys(F.col("fp"), plan, ball=False)).alias("k")).select(*own, "k.key")
+    stars = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(x).alias(f"{x}_b") for x in own])).alias("s"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    stars = stars.where("c_lo < c_hi").select(F.col("key").alias("key_b"), "s.*")
+    met = rows.toDF(*[f"{x}_a" for x in rows.columns]).join(stars, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") != F.col("c_b")) & near("a", "b"))
     bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    nearest = met.groupBy("node").agg(F.min(F.struct(bits.alias("bits"), F.col("node_s").alias("other"))).alias("p"))
-    return nearest.select(F.least("node", "p.other").alias("a"), F.greatest("node", "p.other").alias("b")).distinct()
+    nearest = met.groupBy("node_a").agg(F.min(F.struct(bits.alias("bits"), F.col("node_b").alias("other"))).alias("p"))
+    return nearest.select(F.least("node_a", "p.other").alias("a"), F.greatest("node_a", "p.other").alias("b")).distinct()
 
 
 def open_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near, most: int | None = None) -> DataFrame:
@@ -217,8 +218,8 @@ def open_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near,
     a, b = (rows.toDF(*[f"{x}_{side}" for x in rows.columns]) for side in "ab")
     xor = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     # comparing is the work here, however small the tables: a merge join spreads it, a broadcast would leave it to a few tasks
-    met = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & near("a", "b") & once(F.col("way_a"), F.col("way_b"), xor, plan) & (F.lit(True) if most is None else wide_bits("a", "b") <= most))
-    bits = F.bit_count(xor) if most is None else wide_bits("a", "b")
+    met = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & near("a", "b") & once(F.col("way_a"), F.col("way_b"), xor, plan) & (F.lit(True) if most is None else differing_bits("a", "b", WIDE) <= most))
+    bits = F.bit_count(xor) if most is None else differing_bits("a", "b", WIDE)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), bits.alias("bits"))
 
 
@@ -328,17 +329,17 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-#: Words of a wide fingerprint; its first bits are others than those of fingerprint_of().
-WIDE = 16
+#: Words of 64 bits of a wide fingerprint: all sets get the first WIDE_FIRST, those that may have a neighbour all WIDE.
+WIDE, WIDE_FIRST = 8, 2
 _MIX = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_of(hashes: np.ndarray) -> np.ndarray:
-    """The fingerprint of 64 * WIDE bits: each hash is mixed WIDE ways, and a bit is 1 if set in over half of them."""
-    ones = np.zeros(64 * WIDE, np.int64)
+def wide_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of 64 * words bits: each hash is mixed that many ways, and a bit is 1 if set in over half of them."""
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 4096):
         with np.errstate(over="ignore"):
-            z = hashes[at : at + 4096, None] + _MIX
+            z = hashes[at : at + 4096, None] + _MIX[:words]
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             z ^= z >> np.uint64(31)
@@ -346,8 +347,12 @@ def wide_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def wide_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"w{i}_{a}").bitwiseXOR(F.col(f"w{i}_{b}"))) for i in range(1, WIDE)), F.bit_count(F.col(f"w0_{a}").bitwiseXOR(F.col(f"w0_{b}"))))
+WORDS = ["fp", *(f"w{i}" for i in range(1, WIDE))]
+
+
+def differing_bits(a: str, b: str, words: int) -> Column:
+    each = [F.bit_count(F.col(f"{w}_{a}").bitwiseXOR(F.col(f"{w}_{b}"))) for w in WORDS[:words]]
+    return sum(each[1:], each[0])
 
 
 def expected_bits(similarity: float, bits: int, spread: float) -> int:
@@ -356,15 +361,16 @@ def expected_bits(similarity: float, bits: int, spread: float) -> int:
     return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_sizes(similarity: float, most: int) -> Near:
-    """Within `most` bits, and of sizes that allow the similarity."""
-    bits = within_bits(most)
-    return lambda a, b: bits(a, b) & (F.least(f"size_{a}", f"size_{b}") >= F.lit(similarity) * F.greatest(f"size_{a}", f"size_{b}"))
+def similar_sizes(similarity: float, spread: float) -> Near:
+    """The first words differ in no more bits than the similarity lets expect, and the sizes allow it."""
+    most = expected_bits(similarity, 64 * WIDE_FIRST, spread)
+    return lambda a, b: (differing_bits(a, b, WIDE_FIRST) <= most) & (F.least(f"size_{a}", f"size_{b}") >= F.lit(similarity) * F.greatest(f"size_{a}", f"size_{b}"))
 
 
 def suspects(nodes: DataFrame, plan: list[tuple[list[int], int]], near: Near) -> DataFrame:
-    """The fp of nodes that share a key with another one that is near; each looks only until it has found one. nodes: (node, fp, size)."""
-    rows = nodes.select("fp", "size", F.explode(keys(F.col("fp"), plan)).alias("k")).select("fp", "size", "k.key")
+    """The fp of nodes that share a key with another one that is near; each looks only until it has found one. nodes: (node, fp, .., size)."""
+    own = ["size", *WORDS[:WIDE_FIRST]]
+    rows = nodes.select(*own, F.explode(keys(F.col("fp"), plan)).alias("k")).select(*own, "k.key")
     a, b = (rows.toDF(*[f"{x}_{side}" for x in rows.columns]) for side in "ab")
     met = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("fp_a") != F.col("fp_b")) & near("a", "b"), "left_semi")
     alike = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
@@ -388,14 +394,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 11, most_bits: int = 15, width: int = 5, turns: int = 2, steps: int = 4) -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 11, spread: float = 2.3, width: int = 5, turns: int = 2, steps: int = 3) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one of the least id (null last), the first of repeated rows.
 
     Two texts link where their sets of `width`-word shingles have Jaccard `similarity` or more; groups are the components of links. A node is a
-    distinct shingle set, fingerprinted over the set. Pairs within `radius` bits are all looked at, and those up to `most_bits` that share a key.
+    distinct shingle set, fingerprinted over the set. Pairs within `radius` of the first 64 bits are all looked at, and farther ones that share a
+    key, as long as their fingerprints differ in no more bits than sets of that similarity are expected to, and `spread` standard errors more.
 
-    Nodes with no such neighbour at all leave first; the others get a wide fingerprint, which tells pairs far from the similarity before any text
-    is read. Among them, `turns` rounds of stars are verified on the texts, then all pairs between components, in `steps` steps from the nearest
+    Nodes with no such neighbour at all, by 128 bits, leave first; the others get 512 bits, which tell pairs far from the similarity before any
+    text is read. Among them, `turns` rounds of stars are verified on the texts, then all pairs between components, in `steps` steps from the nearest
     to those whose wide fingerprints just allow the similarity: so most of a large group is one component before its many far pairs are looked
     at, and those inside it need no look. Texts without words are all one node.
     """
@@ -406,17 +413,19 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(0).field(text_col).to_pylist()]
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([fingerprint_of(x) for x in sets], [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array([len(x) for x in sets], pa.int32())], names=["row", "fp", "node", "size"])
+            first = np.array([wide_of(x, WIDE_FIRST) for x in sets], np.uint64).reshape(-1, WIDE_FIRST).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(w)) for w in first.T)], names=["row", "node", "size", *WORDS[:WIDE_FIRST]])
 
+    longs = lambda names: ", ".join(f"{w} long" for w in names)
     # numbered when written, so the numbers stay
-    marked = docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, fp long, node long, size int").withColumn("rid", F.monotonically_increasing_id())
+    marked = docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, node long, size int, {longs(WORDS[:WIDE_FIRST])}").withColumn("rid", F.monotonically_increasing_id())
     rows = materialise(marked, "fingerprints")
     own = F.col("row").getField(id_col)
     first = F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("rid"))).alias("first")
-    nodes = materialise(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), first), "nodes", narrow=True)
-    some = nodes.where("size > 0").select("node", "fp", "size", "first.rid")
-    near = similar_sizes(similarity, most_bits)
+    nodes = materialise(rows.groupBy("node").agg(*[F.min(w).alias(w) for w in WORDS[:WIDE_FIRST]], F.min("size").alias("size"), first), "nodes", narrow=True)
+    some = nodes.where("size > 0").select("node", *WORDS[:WIDE_FIRST], "size", "first.rid")
+    near = similar_sizes(similarity, spread)
     plan = allocate(*bit_counts(some), radius)
     odd = suspects(some, plan, near)
     odd = materialise(some.join(odd.withColumnRenamed("fp", "fp_odd").hint("merge"), F.col("fp") == F.col("fp_odd"), "left_semi"), "suspects", narrow=True)
@@ -425,12 +434,12 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def widen(batches):
         for batch in batches:
-            wide = np.array([wide_of(shingle_set(t, width)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in wide.T)], names=["wide_node", *(f"w{i}" for i in range(WIDE))])
+            wide = np.array([wide_of(shingle_set(t, width), WIDE) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in wide.T)], names=["wide_node", *WORDS])
 
-    wide = texts.mapInArrow(widen, "wide_node long, " + ", ".join(f"w{i} long" for i in range(WIDE)))
-    odd = materialise(odd.select("node", "fp", "size").join(wide, F.col("node") == F.col("wide_node")).drop("wide_node"), "wide", narrow=True)
-    # few nodes take few and short keys
+    wide = texts.mapInArrow(widen, f"wide_node long, {longs(WORDS)}").drop(*WORDS[:WIDE_FIRST])
+    odd = materialise(odd.drop("rid").join(wide, F.col("node") == F.col("wide_node")).drop("wide_node"), "wide", narrow=True)
+    # fewer nodes take fewer and shorter keys
     short = allocate(*bit_counts(odd), radius, most_parts=radius + 1)
     most_at_once = PAIRS * odd.count()
     roots = odd.sparkSession.createDataFrame([], "node long, root long")
@@ -440,10 +449,10 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         roots = components(roots.union(materialise(verified(pairs, texts, similarity, width), "verified", narrow=True)).toDF("a", "b"))
 
     for turn in range(turns):
-        look(star_pairs(labelled(odd.select("node", "fp", "size"), roots), plan, near, turn))
+        look(star_pairs(labelled(odd.select("node", *WORDS[:WIDE_FIRST], "size"), roots), plan, near, turn))
     for step in range(steps):
         # steps of even width from the similarity up to 1
-        most = expected_bits(similarity + (1 - similarity) * (steps - 1 - step) / (steps + 1), 64 * WIDE, 2.3)
+        most = expected_bits(similarity + (1 - similarity) * (steps - 1 - step) / (steps + 1), 64 * WIDE, spread)
         todo = materialise(open_pairs(labelled(odd, roots), short, near, most), "open-pairs")
         if todo.count() > most_at_once:
             # of each node the nearest pair first, then what is still open

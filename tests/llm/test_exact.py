@@ -743,6 +743,6 @@ def test_near_copies_of_the_stage(spark):
             up[b] = a
             n += 1
     assert n > 20  # pairs, most of them beyond three bits
-    got = {r.doc_id for r in simhash_gph.keep_one_similar(docs, radius=15, most_bits=30).collect()}
+    got = {r.doc_id for r in simhash_gph.keep_one_similar(docs, radius=20, spread=6).collect()}
     assert got == {i for i in range(len(made)) if find(i) == i}  # radius wide enough for every pair
     assert len({r.doc_id for r in simhash_gph.keep_one_similar(docs).collect()} - got) <= 0.05 * n  # recall of the default
