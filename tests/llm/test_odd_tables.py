@@ -54,6 +54,25 @@ def test_odd_pages(spark):
     assert html_extract.op1(pages.limit(0)).count() == 0
 
 
+def test_very_many_sources(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('own words of number ', id, char(10), 'a line of all') AS text", "concat('s', id) AS source", "'en' AS lang")
+    got = temperature_mix.op8(docs)
+    assert got.count() == 4000 and got.where("copies >= 1").count() == 4000
+    assert line_spread.op9(docs).where("n_removed = 1 AND text NOT LIKE '%a line of all%'").count() == 4000
+
+
+def test_one_text_and_one_null_on_a_third_of_the_rows(spark):
+    """Hot keys of the joins on texts: every row comes back, with what one copy alone would get."""
+    import public_tokenizers
+
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'token=abcdef12 and the same words' WHEN id % 3 = 1 THEN concat('words of ', id) END AS text", "concat('s', id % 20) AS source")
+    tokens = token_counts.op2(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens.count() == 6000 and {r.n_tokens for r in tokens.where("doc_id % 3 = 2").collect()} == {0} and len({r.n_tokens for r in tokens.where("doc_id % 3 = 0").collect()}) == 1
+    assert {(r.doc_id % 3, r.n_assign) for r in secret_ledger.op5(docs).collect()} == {(0, 1), (1, 0), (2, 0)}
+    assert {(r.doc_id % 3, r.n_removed) for r in line_spread.op9(docs).collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert simhash_gph.op10(docs).where("doc_id % 3 = 0").select("component_id").distinct().count() == 1
+
+
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="missing columns"):
         simhash_gph.op10(spark.range(1))
