@@ -145,6 +145,39 @@ class Workbook:
                     sheet.drawn.append((a["r1"], "image", image_name(self.package, a["target"]), None))
 
 
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+#: What may stand before the two elements that the schema puts in order.
+BEFORE_SETUP = frozenset("sheetPr dimension sheetViews sheetFormatPr cols sheetData sheetCalcPr sheetProtection protectedRanges scenarios autoFilter sortState dataConsolidate customSheetViews mergeCells phoneticPr conditionalFormatting dataValidations hyperlinks printOptions pageMargins".split())
+
+
+def fit_to_one_page(content: bytes) -> bytes:
+    """The workbook with every sheet set to print on one page, for a renderer; all else stays as it is."""
+    source, out = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+        for item in source.infolist():
+            body = source.read(item)
+            if re.fullmatch(r"xl/worksheets/[^/]+\.xml", item.filename):
+                root = ET.fromstring(body)
+                space = root.tag.partition("}")[0] + "}" if "}" in root.tag else ""
+                ET.register_namespace("", space[1:-1] or MAIN)
+                props = child(root, "sheetPr")
+                if props is None:
+                    props = ET.Element(f"{space}sheetPr")
+                    root.insert(0, props)
+                fit = child(props, "pageSetUpPr")
+                (ET.SubElement(props, f"{space}pageSetUpPr") if fit is None else fit).set("fitToPage", "1")
+                setup = child(root, "pageSetup")
+                if setup is None:
+                    setup = ET.Element(f"{space}pageSetup")
+                    root.insert(sum(tag(x) in BEFORE_SETUP for x in root), setup)
+                setup.attrib.pop("scale", None)
+                setup.set("fitToWidth", "1")
+                setup.set("fitToHeight", "1")
+                body = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+            made.writestr(item, body)
+    return out.getvalue()
+
+
 def image_name(p: Package, part: str) -> str:
     """The first 16 digits of the content's SHA-256 and the part's suffix: equal images have one name."""
     return hashlib.sha256(p.zip.read(part)).hexdigest()[:16] + posixpath.splitext(part)[1].lower()

@@ -9,10 +9,12 @@ that are encrypted raise; glyphs without a known character are left out.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b")
 TOKEN = re.compile(rb"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)*(?:(<<|>>|\[|\]|\{|\})|/([^\x00\t\n\x0c\r ()<>\[\]{}/%]*)|(\d+)[ \r\n\t]+(\d+)[ \r\n\t]+R(?![A-Za-z])|([+-]?(?:\d+\.?\d*|\.\d+))|(\()|<([0-9A-Fa-f\s]*)>|([^\x00\t\n\x0c\r ()<>\[\]{}/%]+))")
@@ -243,8 +245,19 @@ def _times(a: tuple, b: tuple) -> tuple:
 UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def _run(doc: Document, data: bytes, resources: dict, base: tuple, out: list[tuple], depth: int = 0) -> None:
-    """Appends (x0, x1, y, size, text) of each string shown; y grows upwards."""
+def _point(ctm: tuple, x: float, y: float) -> tuple[float, float]:
+    return ctm[0] * x + ctm[2] * y + ctm[4], ctm[1] * x + ctm[3] * y + ctm[5]
+
+
+def _run(doc: Document, data: bytes, resources: dict, base: tuple, out: list[tuple], depth: int = 0, drawn: list[tuple] | None = None) -> None:
+    """Appends (x0, x1, y, size, text) of each string shown, and to `drawn` (kind, x0, y0, x1, y1, object) of lines, boxes and images; y grows upwards."""
+    path: list[tuple] = []
+    pen = (0.0, 0.0)
+
+    def mark(kind: str, points: list[tuple[float, float]], no: int = 0) -> None:
+        xs, ys = [x for x, _ in points], [y for _, y in points]
+        drawn.append((kind, min(xs), min(ys), max(xs), max(ys), no))
+
     fonts: dict[str, Font] = {}
     specs, forms = doc.get(resources.get("Font")) or {}, doc.get(resources.get("XObject")) or {}
     state = {"ctm": base, "font": None, "size": 0.0, "gap": 0.0, "word": 0.0, "lead": 0.0, "scale": 1.0, "rise": 0.0}
@@ -313,12 +326,26 @@ def _run(doc: Document, data: bytes, resources: dict, base: tuple, out: list[tup
                             show(part)
                         else:
                             text = _times((1, 0, 0, 1, -part / 1000 * state["size"] * state["scale"], 0), text)
+                case "m" | "l" if drawn is not None:
+                    here = _point(state["ctm"], *map(float, args[-2:]))
+                    if x == "l":
+                        path.append(("line", [pen, here]))
+                    pen = here
+                case "re" if drawn is not None:
+                    left, low, wide, high = map(float, args[-4:])
+                    path.append(("box", [_point(state["ctm"], left, low), _point(state["ctm"], left + wide, low + high)]))
+                case "S" | "s" | "B" | "b" | "B*" | "b*" | "f" | "F" | "f*" | "n" if drawn is not None:
+                    for kind, points in path if x != "n" else []:
+                        mark(kind, points)
+                    path = []
                 case "Do" if depth < 8:
                     ref = forms.get(args[-1])
                     form = doc.get(ref)
+                    if drawn is not None and isinstance(ref, Ref) and isinstance(form, dict) and form.get("Subtype") == "Image":
+                        mark("image", [_point(state["ctm"], a, b) for a in (0, 1) for b in (0, 1)], int(ref))
                     if isinstance(ref, Ref) and isinstance(form, dict) and form.get("Subtype") == "Form":
                         own = _times(tuple(doc.get(form.get("Matrix")) or UNIT), state["ctm"])
-                        _run(doc, doc.data(int(ref)), doc.get(form.get("Resources")) or resources, own, out, depth + 1)
+                        _run(doc, doc.data(int(ref)), doc.get(form.get("Resources")) or resources, own, out, depth + 1, drawn)
                 case "ID":
                     # an inline image: its bytes are no operators
                     end = re.compile(rb"\sEI(?=\s|$)").search(data, at)
@@ -328,26 +355,134 @@ def _run(doc: Document, data: bytes, resources: dict, base: tuple, out: list[tup
         args = []
 
 
-def spans(content: bytes) -> list[tuple[int, float, float, float, float, str]]:
-    """(page from 1, x0, x1, y from the top, size, text) of every string shown."""
-    doc = Document(content)
-    found = []
-    for no, page in enumerate(doc.pages(), 1):
-        box = doc.get(page.get("MediaBox")) or [0, 0, 612, 792]
-        top = float(max(doc.get(box[1]), doc.get(box[3])))
+class Page:
+    """Spans (x0, x1, y, size, text) and drawn things (kind, x0, y0, x1, y1, object) of a page, y from the top."""
+
+    def __init__(self, doc: Document, no: int, page: dict):
+        box = [float(doc.get(v)) for v in doc.get(page.get("MediaBox")) or [0, 0, 612, 792]]
+        self.no, self.width, self.height, top = no, abs(box[2] - box[0]), abs(box[3] - box[1]), max(box[1], box[3])
         parts = doc.get(page.get("Contents"))
         refs = parts if isinstance(parts, list) else [page.get("Contents")]
-        out: list[tuple] = []
-        _run(doc, b"\n".join(doc.data(int(r)) for r in refs if isinstance(r, Ref)), doc.get(page.get("Resources")) or {}, UNIT, out)
-        found += [(no, x0, x1, top - y, size, t) for x0, x1, y, size, t in out]
-    return found
+        out, drawn = [], []
+        _run(doc, b"\n".join(doc.data(int(r)) for r in refs if isinstance(r, Ref)), doc.get(page.get("Resources")) or {}, UNIT, out, 0, drawn)
+        self.spans = [(x0, x1, top - y, size, t) for x0, x1, y, size, t in out]
+        self.drawn = [(kind, x0, top - y1, x1, top - y0, ref) for kind, x0, y0, x1, y1, ref in drawn]
+
+
+def read(content: bytes) -> tuple[Document, list[Page]]:
+    doc = Document(content)
+    return doc, [Page(doc, no, p) for no, p in enumerate(doc.pages(), 1)]
+
+
+def spans(content: bytes) -> list[tuple[int, float, float, float, float, str]]:
+    """(page from 1, x0, x1, y from the top, size, text) of every string shown."""
+    return [(p.no, *s) for p in read(content)[1] for s in p.spans]
+
+
+def _steps(values: list[float], near: float = 3.0) -> list[float]:
+    """Sorted values, those within `near` of the one before as one."""
+    out: list[float] = []
+    for v in sorted(values):
+        if not out or v - out[-1] > near:
+            out.append(v)
+    return out
+
+
+def ruled_tables(page: Page) -> list[tuple[float, float, float, float, list[list[str]]]]:
+    """(x0, y0, x1, y1, rows) of tables that lines enclose: two rows and two columns or more, text in half of the rows.
+
+    Lines are strokes and thin boxes, and the sides of boxes; those that cross or
+    meet belong together. Tables at most ten points apart, one under the other
+    and over half as wide, are one. A first row without text is left out.
+    """
+    flat, tall = [], []
+    for kind, x0, y0, x1, y1, _ in page.drawn:
+        if kind == "image":
+            continue
+        if y1 - y0 <= 2 < x1 - x0:
+            flat.append((x0, x1, (y0 + y1) / 2))
+        elif x1 - x0 <= 2 < y1 - y0:
+            tall.append((y0, y1, (x0 + x1) / 2))
+        elif kind == "box" and x1 - x0 > 8 and y1 - y0 > 8:
+            flat += [(x0, x1, y0), (x0, x1, y1)]
+            tall += [(y0, y1, x0), (y0, y1, x1)]
+    up = list(range(len(flat) + len(tall)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    order = sorted(range(len(tall)), key=lambda k: tall[k][2])
+    at = [tall[k][2] for k in order]
+    for i, (x0, x1, y) in enumerate(flat):
+        for k in order[bisect_left(at, x0 - 3) : bisect_right(at, x1 + 3)]:
+            if tall[k][0] - 3 <= y <= tall[k][1] + 3:
+                up[find(i)] = find(len(flat) + k)
+    groups: dict[int, tuple[list, list]] = {}
+    for i in range(len(up)):
+        own = groups.setdefault(find(i), ([], []))
+        own[0].append(flat[i][2]) if i < len(flat) else own[1].append(tall[i - len(flat)][2])
+    grids = sorted((ys[0], ys[-1], xs, ys) for ys, xs in ((_steps(a), _steps(b)) for a, b in groups.values()) if len(ys) >= 2 and len(xs) >= 3)
+    merged: list[tuple[list[float], list[float]]] = []
+    for top, _, xs, ys in grids:
+        if merged:
+            px, py = merged[-1]
+            overlap = min(px[-1], xs[-1]) - max(px[0], xs[0])
+            if top - py[-1] <= 10 and overlap > 0.5 * min(px[-1] - px[0], xs[-1] - xs[0]):
+                merged[-1] = (_steps(px + xs), _steps(py + ys))
+                continue
+        merged.append((xs, ys))
+    out = []
+    for xs, ys in merged:
+        rows = [[[] for _ in xs[1:]] for _ in ys[1:]]
+        for x0, x1, y, size, t in page.spans:
+            r, c = bisect_right(ys, y - size / 3) - 1, bisect_right(xs, (x0 + x1) / 2) - 1
+            if 0 <= r < len(rows) and 0 <= c < len(xs) - 1 and t.strip():
+                rows[r][c].append((round(y), x0, t.strip()))
+        said = [[" ".join(t for _, _, t in sorted(c)) for c in r] for r in rows]
+        if said and not any(said[0]):
+            said = said[1:]
+        if len(said) >= 2 and 2 * sum(any(r) for r in said) >= len(said):
+            out.append((xs[0], ys[0], xs[-1], ys[-1], said))
+    return out
+
+
+def image_bytes(doc: Document, no: int) -> tuple[str, bytes] | None:
+    """Suffix and bytes of an image that is stored as a file of its own (JPEG, JPEG 2000); other encodings have none."""
+    filters = doc.get((doc.objects.get(no) or {}).get("Filter")) or []
+    names = [doc.get(f) for f in (filters if isinstance(filters, list) else [filters])]
+    suffix = {"DCTDecode": ".jpg", "JPXDecode": ".jp2"}.get(names[0]) if len(names) == 1 else None
+    return (suffix, doc.streams.get(no, b"")) if suffix else None
+
+
+def furniture_of(pages: list[Page]) -> set[tuple[int, float, str]]:
+    """(page, y, text) of lines in the top or bottom tenth that come back on another page but for their numbers, and of lone page numbers there."""
+    seen: dict[str, set[int]] = {}
+    edge: list[tuple[int, float, str, str]] = []
+    for p in pages:
+        rows: dict[float, list[tuple]] = {}
+        for x0, _, y, _, t in p.spans:
+            if t.strip() and (y <= 0.1 * p.height or y >= 0.9 * p.height):
+                rows.setdefault(round(y, 1), []).append((x0, t))
+        for y, parts in rows.items():
+            text = " ".join("".join(t for _, t in sorted(parts)).split())
+            norm = re.sub(r"[0-9０-９]+", "<NUM>", text)
+            seen.setdefault(norm, set()).add(p.no)
+            edge.append((p.no, y, text, norm))
+    return {(no, y, text) for no, y, text, norm in edge if len(seen[norm]) >= 2 or re.fullmatch(r"[-－―\s]*<NUM>[-－―\s]*", norm)}
 
 
 def lines(content: bytes) -> list[tuple[int, float, float, float, float, str]]:
     """Spans of one height joined left to right: (page, x0, x1, y, size, text), down the page."""
+    return joined([(p.no, *s) for p in read(content)[1] for s in p.spans])
+
+
+def joined(found: list[tuple]) -> list[tuple]:
     out: list[tuple] = []
     rows: list[list[tuple]] = []
-    for s in sorted((s for s in spans(content) if s[5].strip()), key=lambda s: (s[0], s[3], s[1])):
+    for s in sorted((s for s in found if s[5].strip()), key=lambda s: (s[0], s[3], s[1])):
         if rows and rows[-1][0][0] == s[0] and s[3] - rows[-1][0][3] <= 0.5 * min(s[4], rows[-1][0][4]):
             rows[-1].append(s)
         else:
@@ -367,13 +502,44 @@ def lines(content: bytes) -> list[tuple[int, float, float, float, float, str]]:
     return out
 
 
-def elements(content: bytes) -> list[tuple]:
-    """(unit, kind, level, text, cells): lines flowed to paragraphs; short lines that are larger than the body are headings."""
-    found = lines(content)
+def elements(content: bytes, engine: Callable[[bytes], str] | None = None) -> list[tuple]:
+    """(unit, kind, level, text, cells): lines flowed to paragraphs; short lines that are larger than the body are headings.
+
+    Lines inside ruled tables are theirs; lines that come back at the edges of
+    pages are left out; images stored as files are named where they stand, but
+    for decorations at the top of five pages or more. A page without text that
+    one image covers by 80 % is a scan: its text is what `engine` reads in it.
+    """
+    doc, pages = read(content)
+    made_up = furniture_of(pages)
+    spread = Counter(ref for p in pages for ref in {d[5] for d in p.drawn if d[0] == "image" and d[2] < 70 and (d[3] - d[1]) * (d[4] - d[2]) < 0.02 * p.width * p.height})
+    tables = {p.no: ruled_tables(p) for p in pages}
+    held = lambda no, x0, x1, y: any(t[0] - 2 <= (x0 + x1) / 2 <= t[2] + 2 and t[1] - 2 <= y <= t[3] + 2 for t in tables[no])
+    found = joined([(p.no, *s) for p in pages for s in p.spans if not held(p.no, s[0], s[1], s[2])])
+    found = [x for x in found if (x[0], round(x[3], 1), x[5]) not in made_up]
     base = Counter(round(x[4], 1) for x in found for _ in x[5]).most_common(1)[0][0] if found else 0.0
+    # (page, y, order, element or line)
+    events: list[tuple] = [(x[0], x[3], 1, x) for x in found]
+    for p in pages:
+        events += [(p.no, t[1], 0, ("table", 0, None, t[4])) for t in tables[p.no]]
+        for kind, x0, y0, x1, y1, ref in p.drawn:
+            if kind != "image" or spread[ref] >= 5:
+                continue
+            image = image_bytes(doc, ref)
+            if image is None:
+                continue
+            events.append((p.no, y0, 2, ("image", 0, hashlib.sha256(image[1]).hexdigest()[:16] + image[0], None)))
+            scan = not any(t.strip() for *_, t in p.spans) and (x1 - x0) * (y1 - y0) >= 0.8 * p.width * p.height
+            if scan and engine is not None:
+                events += [(p.no, y0, 3 + k, ("paragraph", 0, t.strip(), None)) for k, t in enumerate(engine(image[1]).split("\n")) if t.strip()]
     out: list[tuple] = []
     last = None
-    for page, x0, x1, y, size, text in found:
+    for no, _, _, x in sorted(events, key=lambda e: e[:3]):
+        if not isinstance(x[0], int):
+            out.append((f"page {no}", *x))
+            last = None
+            continue
+        page, x0, x1, y, size, text = x
         ratio = size / base if base else 1.0
         level = next((n for n, least in ((1, 1.8), (2, 1.4), (3, 1.15)) if ratio >= least), 0) if len(text) <= 50 else 0
         flows = last and out[-1][1] == "paragraph" and not level and last[0] == page and abs(size - last[4]) <= 1 and 0 < y - last[3] <= 1.76 * base and x0 <= last[2] and x1 >= last[1]

@@ -46,12 +46,12 @@ def test_the_filter(spark, folder, capsys):
 
 
 def test_an_engine_for_images(spark, folder):
-    before = files.PARSERS["image"]
+    before = dict(files.PARSERS)
     try:
         files.ocr(lambda content: f"read {len(content)}\n\nbytes")
         row = files.markdown(files.elements(files.read_files(spark, str(folder / "in")).where("path like '%e.png'"))).first()
     finally:
-        files.PARSERS["image"] = before
+        files.PARSERS.update(before)
     assert row.md.endswith("### 抽出テキスト（OCR）\n\nread 9\n\nbytes\n") and "![image](images/" in row.md
 
 
@@ -130,6 +130,16 @@ def test_charts_of_a_package():
     assert ooxml.docx_shapes(make_letter("n", "1", "7"))[0][:5] == ("9", "Box", "wsp", 5, 6)
 
 
+def test_print_setup():
+    before = make_book("n", "1", "7")
+    after = ooxml.fit_to_one_page(before)
+    a, b = ooxml.Package(before), ooxml.Package(after)
+    assert a.names == b.names and [s.cells for s in ooxml.Workbook(before).sheets] == [s.cells for s in ooxml.Workbook(after).sheets]
+    sheet = b.xml("xl/worksheets/s1.xml")
+    assert [ooxml.tag(x) for x in sheet] == ["sheetPr", "sheetData", "mergeCells", "pageSetup"] and ooxml.child(sheet, "pageSetup").attrib == {"fitToWidth": "1", "fitToHeight": "1"}
+    assert ooxml.fit_to_one_page(after) and ooxml.child(sheet, "sheetPr", "pageSetUpPr").get("fitToPage") == "1"
+
+
 def test_sweep(spark):
     kept = materialise(spark.range(3), "kept")
     from docloom.session import made
