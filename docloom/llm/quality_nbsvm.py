@@ -10,8 +10,9 @@ model is fitted to them by dual coordinate descent, and its margin becomes a
 probability by a logistic fit on the training rows.
 
 Training takes at most `most` labelled rows, half of them per class, chosen by
-hash; every class has its share of the loss. All statistics of a score come
-from the whole text.
+hash, and of each at most `most_words` words from a place chosen by hash, so
+that what reaches the driver is bounded in bytes; every class has its share of
+the loss. All statistics of a score come from the whole text.
 
 Nulls and odd cases: null and empty texts have no n-gram and get the score of
 the bias alone, clipped into 0..1; labels that are null or whose document is
@@ -139,7 +140,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> Model:
     return Model((w * ratio).astype(np.float32), bias, max(a, 0.0), b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def piece(text: str | None, most: int) -> str:
+    """At most `most` words from one place of the text, which its own digest chooses."""
+    words = (text or "").split()
+    if len(words) <= most:
+        return text or ""
+    at = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"), 4) % (len(words) - most)
+    return " ".join(words[at : at + most])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_words: int) -> DataFrame:
     """(label, found) of at most about `most` labelled rows outside the held-out part, half per class, by hash."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
     counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -151,19 +161,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["label", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([features(piece(t, most_words)) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["label", "found"])
 
     return texts.mapInArrow(run, "label int, found array<int>")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, most: int = 6000, most_words: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score) for each row of docs."""
     require(docs, id_col, text_col)
     require(labels, "doc_id", "quality")
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    got = training_rows(own, labels, most).toArrow()
+    got = training_rows(own, labels, most, most_words).toArrow()
     found = [x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in got.column("found").combine_chunks()] if got.num_rows else []
     y = got.column("label").to_numpy() if got.num_rows else np.zeros(0, int)
     order = sorted(range(len(y)), key=lambda i: (y[i], found[i].tobytes()))
