@@ -200,6 +200,8 @@ def blocks(html: str | None) -> list[Block]:
         if m[1]:
             prose = heading = own_bad = False
             if tag == "p":
+                while len(stack) > 1 and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
+                    stack.pop()
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -214,8 +216,8 @@ def blocks(html: str | None) -> list[Block]:
                 if stack[k][0] in CLOSES[tag]:
                     del stack[k:]
                     break
-        # an inline element that was never closed ends with its block
-        while stack[-1][4] and stack[-1][0] in INLINE:
+        # a hidden paragraph, or an inline element that was never closed, ends where a block begins
+        while stack[-1][4] and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
             stack.pop()
         prose, heading, own_bad = tag in PROSE, tag in HEADINGS, False
         top = stack[-1]

@@ -38,7 +38,7 @@ def test_page_text():
     assert html_extract.text_of(found, path) == TEXT
 
 
-@pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("just  text\nhere", "just text here"), ("<p>a</p><p>b", "a b"), ("a < b & c", "a < b & c"), ("<article><p>x<!-- y --></article", "x"), ("<script>x", ""), ("<div hidden>x</div>", "")])
+@pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("just  text\nhere", "just text here"), ("<p>a</p><p>b", "a b"), ("a < b & c", "a < b & c"), ("<article><p>x<!-- y --></article", "x"), ("<script>x", ""), ("<div hidden>x</div>", ""), ("<p hidden>x <b>y</b></p><p>z", "z"), ("<p hidden>x<p>z", "z"), ("<p>a <span class=ad>x</span> b</p>c", "a b c"), ("<p>a <span class=ad>x<p>b", "a b"), ("<h2 hidden>x</h2>y", "y")])
 def test_odd_pages(html, text):
     found = html_extract.blocks(html)
     path, _ = html_extract.best_path(found)
