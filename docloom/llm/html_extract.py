@@ -60,9 +60,9 @@ PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption td th
 BAD_TAG = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: Furniture by name, and words that may stand beside such a name in one class without changing what it is.
 BAD_WORD = frozenset(
-    "nav navbar navigation menu menus header masthead footer sidebar sidebars rail aside notice notices cookie cookies consent gdpr banner banners ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion comment comments disqus reply replies respond share sharing social breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal overlay widget widgets related recommended recirc outbrain taboola pagination pager toolbar skip alert form search".split()
+    "nav navbar navigation menu menus header masthead footer sidebar sidebars rail aside notice notices cookie cookies consent gdpr banner banners ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion comment comments disqus reply replies respond share sharing social breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal overlay widget widgets related recommended recirc outbrain taboola pagination pager toolbar skip alert form search copyright adsbygoogle responses".split()
 )
-BESIDE = frozenset("site page main top bottom left right box wrap wrapper container block section area bar list item items inner outer col column row link links button buttons user reader global primary secondary panel module slot unit text message policy icon icons media sticky fixed mobile desktop post posts article entry content story body group holder thread".split())
+BESIDE = frozenset("site page main top bottom left right box wrap wrapper container block section area bar list item items inner outer col column row link links button buttons user reader global primary secondary panel module slot unit text message policy icon icons media sticky fixed mobile desktop post posts article entry content story body group holder thread articles stories entries news topics more sections pages first second third last one two three default inverse light dark expand collapse toggle toggler brand manager prompt layer privacy google dfp gpt info copy your our the new online".split())
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 GOOD_WORD = frozenset("article content post entry story body main text".split())
 OWN_HEADER = frozenset("article post entry story".split())
@@ -88,7 +88,8 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _furniture(name: str, inside: bool) -> bool:
     """Whether a class or id names furniture; inside: of an article."""
-    words = {w.lower() for w in HUMPS.findall(name)}
+    # one or two letters say nothing (js-, is-, 300x250) but for "ad"
+    words = {x for w in HUMPS.findall(name) if len(x := w.lower()) > 2 or x in BAD_WORD}
     bad = words & BAD_WORD
     if not bad or not words <= BAD_WORD | BESIDE:
         return False
