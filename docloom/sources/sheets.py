@@ -271,8 +271,8 @@ def header_of(s: Sheet, x: Region) -> tuple[int, int] | None:
 
 
 def _clean(text: str) -> str:
-    text = re.sub(r"(<br>\s*){2,}", "<br>", text.replace("\r\n", "\n").replace("\r", "\n").replace("\n", "<br>"))
-    return re.sub(r"^(?:<br>\s*)+|(?:\s*<br>)+$", "", text).strip()
+    """On one line, with <br> between the lines that say something."""
+    return "<br>".join(x.strip() for x in re.split(r"\r\n|\r|\n|<br>", text) if x.strip())
 
 
 def head_text(s: Sheet, x: Region, r: int, height: int, c: int) -> str:
