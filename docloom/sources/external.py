@@ -28,14 +28,11 @@ def office() -> str | None:
     return found or next((p for p in OFFICE_PLACES if os.access(p, os.X_OK)), None)
 
 
-def modern(kind: str, content: bytes) -> bytes:
-    """A legacy file of a type as the new format of that type; other content as it is."""
-    if kind not in LEGACY or not content.startswith(OLE):
-        return content
+def _convert(content: bytes, old: str, new: str, seconds: int) -> bytes:
+    """A file's bytes in another format, by the office suite in a folder and with a profile of its own."""
     program = office()
     if program is None:
-        raise RuntimeError("a legacy file, and no office suite here to convert it")
-    old, new, seconds = LEGACY[kind]
+        raise RuntimeError("no office suite here to convert the file")
     with tempfile.TemporaryDirectory() as folder:
         source = Path(folder, f"in.{old}")
         source.write_bytes(content)
@@ -47,6 +44,43 @@ def modern(kind: str, content: bytes) -> bytes:
         return made.read_bytes()
 
 
+def modern(kind: str, content: bytes) -> bytes:
+    """A legacy file of a type as the new format of that type; other content as it is."""
+    if kind not in LEGACY or not content.startswith(OLE):
+        return content
+    return _convert(content, *LEGACY[kind])
+
+
+#: file type -> suffix to render it by
+RENDERED = {"excel": "xlsx", "word": "docx", "powerpoint": "pptx"}
+
+
+def as_pdf(kind: str, content: bytes, seconds: int = 180) -> bytes:
+    """A file as PDF, a sheet on one page each; PDF as it is."""
+    if kind == "pdf":
+        return content
+    if kind not in RENDERED:
+        raise ValueError(f"{kind} can't be rendered")
+    content = modern(kind, content)
+    if kind == "excel":
+        from docloom.sources.ooxml import fit_to_one_page
+
+        content = fit_to_one_page(content)
+    return _convert(content, RENDERED[kind], "pdf", seconds)
+
+
+def page_images(pdf: bytes, dpi: int = 300, seconds: int = 300) -> list[bytes]:
+    """Each page as PNG, in order."""
+    program = shutil.which("pdftoppm")
+    if program is None:
+        raise RuntimeError("no program here that renders pages")
+    with tempfile.TemporaryDirectory() as folder:
+        Path(folder, "in.pdf").write_bytes(pdf)
+        subprocess.run([program, "-r", str(dpi), "-png", f"{folder}/in.pdf", f"{folder}/page"], check=True, capture_output=True, timeout=seconds)
+        made = sorted(Path(folder).glob("page*.png"), key=lambda p: int(p.stem.rpartition("-")[2] or 0))
+        return [p.read_bytes() for p in made]
+
+
 Engine = Callable[[bytes], str]
 
 

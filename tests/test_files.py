@@ -130,6 +130,38 @@ def test_charts_of_a_package():
     assert ooxml.docx_shapes(make_letter("n", "1", "7"))[0][:5] == ("9", "Box", "wsp", 5, 6)
 
 
+def program(folder, name, body):
+    path = folder / name
+    path.write_text(f"#!/bin/sh\n{body}\n")
+    path.chmod(0o755)
+
+
+def test_programs_of_the_machine(spark, tmp_path, monkeypatch):
+    """Stand-ins for the programs: what they get and what is made of what they leave."""
+    put = make_deck("n", "1.5", "7")
+    (tmp_path / "new.pptx").write_bytes(put)
+    program(tmp_path, "soffice", f'for x; do last=$x; done\ncase "$*" in *"--convert-to pptx"*) cp {tmp_path}/new.pptx "$(dirname "$last")/in.pptx";; *"--convert-to pdf"*) echo %PDF > "$(dirname "$last")/in.pdf";; esac')
+    program(tmp_path, "pdftoppm", 'for x; do last=$x; done\nfor k in 1 2 10; do echo "page $k" > "$last-$k.png"; done')
+    program(tmp_path, "tesseract", "cat > /dev/null; echo read; echo; echo text")
+    monkeypatch.setenv("PATH", f"{tmp_path}:{__import__('os').environ['PATH']}")
+    external.office.cache_clear()
+    try:
+        assert external.modern("powerpoint", external.OLE + b"old") == put and external.modern("powerpoint", b"PK new") == b"PK new"
+        assert [x.strip() for x in external.page_images(external.as_pdf("excel", make_book("n", "1", "7")))] == [b"page 1", b"page 2", b"page 10"]
+        assert external.tesseract(b"image") == "read\n\ntext"
+        with pytest.raises(RuntimeError, match="made no file"):
+            external.modern("word", external.OLE + b"old")
+        with pytest.raises(ValueError, match="can't be rendered"):
+            external.as_pdf("image", b"x")
+    finally:
+        external.office.cache_clear()
+
+
+def test_rendering_without_programs_gives_error_rows(spark, folder):
+    rows = files.rendered(files.read_files(spark, str(folder / "in"))).collect()
+    assert len(rows) == 5 and all(r.error and r.content is None for r in rows)
+
+
 def test_print_setup():
     before = make_book("n", "1", "7")
     after = ooxml.fit_to_one_page(before)
