@@ -130,7 +130,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     for t, g in sorted(zip(texts, langs, strict=True), key=lambda x: (x[1], x[0])):
         for s in snippets(t, rng):
             idx, val = features(s)
-            rows.append((idx, val.astype(np.float64)))
+            rows.append((idx.astype(np.int32), val))
             own.append(names.index(g))
     own = np.array(own)
     even = len(own) / len(names) / np.bincount(own, minlength=len(names))[own]
@@ -156,7 +156,7 @@ def training_rows(docs: DataFrame, most: int, most_langs: int = 1000) -> DataFra
     return usable.where(F.lit(False) if chance is None else place < F.try_element_at(chance, F.col("lang"))).select("lang", "text")
 
 
-def identify(docs: DataFrame, most: int = 2400, most_chars: int = 8000, model: Model | None = None, least_gap: float = 0.2) -> DataFrame:
+def identify(docs: DataFrame, most: int = 2400, most_chars: int = 4000, model: Model | None = None, least_gap: float = 0.2) -> DataFrame:
     """(row struct of docs' columns, lang_pred, score, ambiguous) for each row of docs (doc_id, text; lang to learn from)."""
     require(docs, "doc_id", "text", *([] if model else ["lang"]))
     spark = docs.sparkSession
