@@ -268,8 +268,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(down, large.a == down.u).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         small = materialise(small, "stars", narrow=True)
         # done when every node has one edge only and no root is itself a child
-        state = small.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"]
-        if state is None or (state == 1 and small.join(small.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi").isEmpty()):
+        ends = small.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(small.select("b", F.lit(0), F.lit(1)))
+        unsettled = (F.col("child") > 1) | (F.col("child") > 0) & (F.col("root") > 0)
+        if not ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("root").alias("root")).agg(F.count_if(unsettled)).first()[0]:
             return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = small
     raise RuntimeError("components did not settle")
