@@ -98,15 +98,15 @@ def list_levels(spark, sf_dir):
     return L.list_levels(table(spark, sf_dir, "events").selectExpr("user_id AS doc", "event_id AS seq", f"{MARK} AS marker"))
 
 
-SPANS = ("l_suppkey AS page", "CAST(l_partkey % 12 * (10 + l_suppkey % 60) AS double) AS y", "CAST(l_orderkey % 30 * 7 AS double) AS x", "CASE WHEN l_partkey % 5 = 0 THEN l_returnflag ELSE l_returnflag || l_shipdate END AS text")
+CELLED = ("l_suppkey AS page", "CAST(l_partkey % 12 * (10 + l_suppkey % 60) AS double) AS y", "CAST(l_orderkey % 30 * 7 AS double) AS x", "CASE WHEN l_partkey % 5 = 0 THEN l_returnflag ELSE l_returnflag || l_shipdate END AS text")
 
 
-@query(f"""WITH c AS (SELECT page, round_even(y / 5, 0) * 5 AS y, round_even(x / 20, 0) * 20 AS x, length(text) AS n FROM (SELECT {', '.join(SPANS)} FROM lineitem WHERE l_linenumber % 2 = 1)),
+@query(f"""WITH c AS (SELECT page, round_even(y / 5, 0) * 5 AS y, round_even(x / 20, 0) * 20 AS x, length(text) AS n FROM (SELECT {', '.join(CELLED)} FROM lineitem WHERE l_linenumber % 2 = 1)),
 r AS (SELECT page, y FROM c GROUP BY page, y HAVING count(DISTINCT x) >= 3 AND max(n) > 3),
 t AS (SELECT page, y, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y ROWS UNBOUNDED PRECEDING) AS t FROM (SELECT page, y, coalesce(y - lag(y) OVER (PARTITION BY page ORDER BY y) >= 50, true) AS fresh FROM r))
 SELECT page, min(y) AS top, max(y) AS bottom, count(*) AS n_rows FROM t GROUP BY page, t HAVING count(*) >= 2""".replace(" WHERE l_linenumber % 2 = 1", ""))
 def text_tables(spark, sf_dir):
-    return L.text_tables(lineitem(spark, sf_dir, *SPANS))
+    return L.text_tables(lineitem(spark, sf_dir, *CELLED))
 
 
 @query(r"""WITH p AS (SELECT conv_id AS doc, turn AS page, text, regexp_extract(text, '^([^\n]*)', 1) AS first, regexp_extract(lag(text) OVER w, '([^\n]*)$', 1) AS prior, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
