@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.session import fresh_path, materialise, shared_folder, ship, table
 
-__all__ = ["fresh_path", "held_out", "materialise", "shared_folder", "ship", "small_batches", "table", "text_or_empty", "words_of"]
+__all__ = ["fresh_path", "held_out", "materialise", "shared_folder", "ship", "small_batches", "table", "text_or_empty", "tidy", "words_of"]
 
 #: A word, as the contracts define it: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +35,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text_or_empty(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing uses any more: it does so when the driver collects its garbage, which may be long after a job of many rounds has filled the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

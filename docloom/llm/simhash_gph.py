@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialise, require, small_batches
+from docloom.llm.common import materialise, require, small_batches, tidy
 
 SEED = 42
 BITS = 64
@@ -448,6 +448,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def look(pairs: DataFrame) -> None:
         nonlocal roots
         roots = components(roots.union(materialise(verified(pairs, texts, similarity, width), "verified", narrow=True)).toDF("a", "b"))
+        tidy(texts.sparkSession)
 
     for turn in range(turns):
         look(star_pairs(labelled(odd.select("node", *WORDS[:WIDE_FIRST], "size"), roots), plan, near, turn))
