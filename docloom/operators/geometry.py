@@ -68,18 +68,26 @@ def measures(boxes: DataFrame, margin: float = 10.0) -> DataFrame:
     )
 
 
+def _without(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """boxes without the a of pairs; an id may stand on several boxes, so its place tells which of them is meant."""
+    names = ["grp", "id", "x0", "y0", "x1", "y1"]
+    lost = pairs.select(*[F.col(f"a.{n}").alias(f"_{n}") for n in names]).distinct()
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(n) == F.col(f"_{n}"))
+    return boxes.join(lost, same, "left_anti")
+
+
 def drop_contained(boxes: DataFrame, margin: float = 10.0) -> DataFrame:
     """Without boxes inside a larger one (of equal ones the lesser id stays)."""
     larger = (area("b") > area("a")) | ((area("b") == area("a")) & (F.col("b.id") < F.col("a.id")))
-    inside = touching(boxes, margin, margin).where(contains("b", "a", margin) & larger).select(F.col("a.grp").alias("g"), F.col("a.id").alias("i")).distinct()
-    return boxes.join(inside, (F.col("grp") == F.col("g")) & (F.col("id") == F.col("i")), "left_anti")
+    return _without(boxes, touching(boxes, margin, margin).where(contains("b", "a", margin) & larger))
 
 
 def drop_overlapping(boxes: DataFrame, most: float = 0.5) -> DataFrame:
     """Of two boxes that share `most` of the smaller or more, the larger stays (the first on a tie)."""
     larger = (area("b") > area("a")) | ((area("b") == area("a")) & (F.col("b.id") < F.col("a.id")))
-    lost = touching(boxes).where((overlap_area() >= most * F.least(area("a"), area("b"))) & (overlap_area() > 0) & larger).select(F.col("a.grp").alias("g"), F.col("a.id").alias("i")).distinct()
-    return boxes.join(lost, (F.col("grp") == F.col("g")) & (F.col("id") == F.col("i")), "left_anti")
+    return _without(boxes, touching(boxes).where((overlap_area() >= most * F.least(area("a"), area("b"))) & (overlap_area() > 0) & larger))
 
 
 def near_edges(boxes: DataFrame, dx: float = 100.0, dy: float = 40.0) -> DataFrame:
