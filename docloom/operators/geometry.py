@@ -123,7 +123,7 @@ def per_group(df: DataFrame, key: str, order: list[str], fn: Callable[[list[tupl
 
 
 def components(boxes: DataFrame, edges: DataFrame) -> DataFrame:
-    """boxes' (grp, id) + root, the least id reachable inside the group."""
+    """boxes' (grp, id), each once, + root, the least id reachable inside the group."""
     both = boxes.select("grp", "id", F.lit(None).cast(boxes.schema["id"].dataType).alias("to")).unionByName(edges.select("grp", F.col("a").alias("id"), F.col("b").alias("to")))
 
     def run(rows: list[tuple]) -> list[tuple]:
@@ -139,7 +139,7 @@ def components(boxes: DataFrame, edges: DataFrame) -> DataFrame:
             if b is not None:
                 a, b = find(a), find(b)
                 up[max(a, b)] = min(a, b)
-        return [(g, i, find(i)) for g, i, to in rows if to is None]
+        return [(rows[0][0], i, find(i)) for i in up]
 
     schema = T.StructType([boxes.schema["grp"], boxes.schema["id"], T.StructField("root", boxes.schema["id"].dataType)])
     return per_group(both, "grp", ["to", "id"], run, schema)

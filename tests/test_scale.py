@@ -33,3 +33,8 @@ TWICE = [(1, 1, 5, 0, 1.0, "A"), (1, 1, 5, 50, 1.0, "A"), (1, 2, 5, 0, 9.0, "A")
 @pytest.mark.parametrize("name", ["region_deoverlap", "contained_removal"])
 def test_boxes_of_one_id_are_dropped_by_their_places(against, name):
     against(name, "lineitem", TWICE, LINE)
+
+
+def test_components_have_an_id_once(against):
+    # the second place of id 1 reaches a box that the first doesn't
+    against("figure_components", "lineitem", [(1, 1, 5, 0, 1.0, "A"), (1, 1, 5, 50, 1.0, "A"), (1, 2, 5, 55, 9.0, "A"), (1, 3, 350, 0, 1.0, "A")], LINE)
