@@ -57,12 +57,15 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 
 def same_line(lines: DataFrame) -> DataFrame:
-    """lines(page, id, x0, x1, y, size, text) -> page, row, part, text: neighbours in y chain to rows, neighbours in x join."""
-    down = W.partitionBy("page").orderBy("y", "x0", "id")
+    """lines(page, id, x0, x1, y, size, text) -> page, row, part, text: neighbours in y chain to rows, neighbours in x join.
+
+    Lines of equal x0 and id are read from the top, then by their ends, so the result doesn't hang on the order of the input.
+    """
+    down = W.partitionBy("page").orderBy("y", "x0", "id", "x1", "size", "text")
     gap = F.col("y") - F.lag("y").over(down)
     fresh = F.coalesce(gap > 0.5 * F.least("size", F.lag("size").over(down)), F.lit(True))
     rows = lines.withColumn("row", F.sum(fresh.cast("int")).over(down.rowsBetween(W.unboundedPreceding, 0)))
-    along = W.partitionBy("page", "row").orderBy("x0", "id")
+    along = W.partitionBy("page", "row").orderBy("x0", "id", "y", "x1", "size", "text")
     apart = F.coalesce(F.col("x0") - F.lag("x1").over(along) > 1.5 * F.col("size"), F.lit(True))
     parts = rows.withColumn("part", F.sum(apart.cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "id", "text"))), lambda s: s["text"]), " ")

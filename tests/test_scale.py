@@ -1,8 +1,11 @@
 """Cases that only larger tables have: ids on several rows, ties, long maps, few rows of much work."""
 
+from itertools import permutations
+
 import pytest
 from compare import same
 
+from docloom.operators import layout as L
 from docloom.plans import catalogue
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
@@ -38,3 +41,12 @@ def test_boxes_of_one_id_are_dropped_by_their_places(against, name):
 def test_components_have_an_id_once(against):
     # the second place of id 1 reaches a box that the first doesn't
     against("figure_components", "lineitem", [(1, 1, 5, 0, 1.0, "A"), (1, 1, 5, 50, 1.0, "A"), (1, 2, 5, 55, 9.0, "A"), (1, 3, 350, 0, 1.0, "A")], LINE)
+
+
+def test_lines_of_equal_place_and_id_have_one_order(spark):
+    # of the first two the one that ends farther right is read last; whether the third is apart hangs on that
+    lines = [(1, 243.0, 260.0, 18.0, 9.0, "R1"), (1, 243.0, 290.0, 18.0, 9.0, "N1"), (5, 302.0, 344.0, 18.0, 8.0, "R5")]
+    rows = [(page, *x) for page, order in enumerate(permutations(lines)) for x in order]
+    got = L.same_line(spark.createDataFrame(rows, "page int, id int, x0 double, x1 double, y double, size double, text string").coalesce(1)).collect()
+    assert {r.text for r in got} == {"N1 R1 R5"}
+    assert len(got) == 6
