@@ -4,7 +4,9 @@ from itertools import permutations
 
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import layout as L
 from docloom.plans import catalogue
 
@@ -50,3 +52,16 @@ def test_lines_of_equal_place_and_id_have_one_order(spark):
     got = L.same_line(spark.createDataFrame(rows, "page int, id int, x0 double, x1 double, y double, size double, text string").coalesce(1)).collect()
     assert {r.text for r in got} == {"N1 R1 R5"}
     assert len(got) == 6
+
+
+def test_column_letters_past_four(spark):
+    def letters(n):
+        found = ""
+        while n > 0:
+            n, k = divmod(n - 1, 26)
+            found = chr(65 + k) + found
+        return found
+
+    numbers = [1, 18278, 18279, 475253, 475254, 475255, 1_000_000, 1_199_999, 12_356_630, 12_356_631]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", T.col_letter(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == {n: letters(n) for n in numbers}
