@@ -86,12 +86,16 @@ def chapter_map(headings: DataFrame) -> DataFrame:
 
 
 def link_chapters(paragraphs: DataFrame, mapping: DataFrame) -> DataFrame:
-    """paragraphs(doc, seq, text) with references (第N章, N章, N節) that the map knows as links."""
+    """paragraphs(doc, seq, text) with references (第N章, N章, N節) that the map knows as links.
+
+    References are joined to the map one by one, so no row holds the whole map of a document.
+    """
     pattern = r"(第\d+(?:\.\d+)*章|(?<![第\d.])\d+(?:\.\d+)*[章節])"
-    known = mapping.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("ref", "anchor"))).alias("known")).withColumnRenamed("doc", "d")
     hits, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.split("text", pattern, -1)
+    found = paragraphs.select("doc", "seq", F.explode(F.array_distinct(hits)).alias("ref")).join(mapping, ["doc", "ref"])
+    known = found.groupBy("doc", "seq").agg(F.map_from_entries(F.collect_set(F.struct("ref", "anchor"))).alias("known")).withColumnsRenamed({"doc": "d", "seq": "s"})
     link = lambda x: F.coalesce(F.concat(F.lit("["), x, F.lit("](#"), F.try_element_at("known", x), F.lit(")")), x)
-    j = paragraphs.join(known, paragraphs.doc == F.col("d"), "left").withColumn("_h", hits).withColumn("_g", gaps)
+    j = paragraphs.join(known, (paragraphs.doc == F.col("d")) & paragraphs.seq.eqNullSafe(F.col("s")), "left").withColumn("_h", hits).withColumn("_g", gaps)
     whole = F.array_join(F.concat(F.slice("_g", 1, 1), F.transform("_h", lambda x, i: F.concat(link(x), F.get("_g", i + 1)))), "")
     return j.select("doc", "seq", F.when(F.col("known").isNull(), F.col("text")).otherwise(whole).alias("text"))
 

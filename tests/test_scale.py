@@ -1,5 +1,6 @@
 """Cases that only larger tables have: ids on several rows, ties, long maps, few rows of much work."""
 
+import re
 from itertools import permutations
 
 import pytest
@@ -7,6 +8,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import events as E
 from docloom.operators import layout as L
 from docloom.plans import catalogue
 
@@ -65,3 +67,13 @@ def test_column_letters_past_four(spark):
     numbers = [1, 18278, 18279, 475253, 475254, 475255, 1_000_000, 1_199_999, 12_356_630, 12_356_631]
     got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", T.col_letter(F.col("n")).alias("s")).collect()
     assert {r.n: r.s for r in got} == {n: letters(n) for n in numbers}
+
+
+def test_references_meet_the_map_one_by_one(spark):
+    paragraphs = spark.createDataFrame([("a", 1, "第1章と第1章と3節, 2019年"), ("a", None, "2章"), ("a", 1, "第9章と2章"), ("b", 1, "第1章"), ("a", 3, None), (None, 4, "第1章")], "doc string, seq int, text string")
+    mapping = spark.createDataFrame([("a", "第1章", "one"), ("a", "2章", "two"), ("a", "3節", None), ("c", "第9章", "nine")], "doc string, ref string, anchor string")
+    got = E.link_chapters(paragraphs, mapping)
+    want = {("a", 1, "[第1章](#one)と[第1章](#one)と3節, 2019年"), ("a", None, "[2章](#two)"), ("a", 1, "第9章と[2章](#two)"), ("b", 1, "第1章"), ("a", 3, None), (None, 4, "第1章")}
+    assert {tuple(r) for r in got.collect()} == want
+    # no row gathers all that a document's map has
+    assert not re.search(r"Aggregate \[doc#\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
