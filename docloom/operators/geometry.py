@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.session import ship
+from docloom.session import by_key, ship
 
 
 def area(b: str = "") -> Column:
@@ -119,7 +119,7 @@ def per_group(df: DataFrame, key: str, order: list[str], fn: Callable[[list[tupl
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], names=names)
 
     ship(df.sparkSession)
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return by_key(df, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def components(boxes: DataFrame, edges: DataFrame) -> DataFrame:

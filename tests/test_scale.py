@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import events as E
 from docloom.operators import layout as L
+from docloom.operators import regions as R
 from docloom.plans import catalogue
+from docloom.session import by_key
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
 
@@ -77,3 +79,25 @@ def test_references_meet_the_map_one_by_one(spark):
     assert {tuple(r) for r in got.collect()} == want
     # no row gathers all that a document's map has
     assert not re.search(r"Aggregate \[doc#\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def parts_of(df):
+    """Parts of the last exchange of a run."""
+    return df.rdd.getNumPartitions()
+
+
+MANY = [(p, 1 + k % 7, p * 31 % 500 + k, p * 17 % 90 + k, 1.0 + (p + k) % 50, "A") for p in range(2000) for k in range(4)]
+
+
+def test_ruled_tables_are_dealt_by_the_size_of_files(spark, against, monkeypatch):
+    monkeypatch.setattr(R, "by_key", lambda df, *keys: by_key(df, *keys, most=2048))
+    against("ruled_table_merge", "lineitem", MANY, LINE)
+
+
+def test_parts_grow_with_the_files(spark, tmp_path):
+    for name, n in (("one", 1), ("eight", 8)):
+        spark.range(20000 * n).selectExpr("id div 4 AS page", "rand(1) AS x").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    one, eight = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("one", "eight"))
+    assert 7 <= parts_of(by_key(eight, "page", most=10_000)) / parts_of(by_key(one, "page", most=10_000)) <= 9
+    # a frame that isn't files, or a small one, is left to Spark
+    assert parts_of(by_key(spark.createDataFrame([(1,)], "page int"), "page")) <= 4 and parts_of(by_key(one, "page")) <= 4
