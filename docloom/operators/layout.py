@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.session import by_key
+
 
 def slide_documents(pages: DataFrame) -> DataFrame:
     """pages(doc, w, h) -> doc, is_slide: 90 % landscape, and sizes that hardly vary where there are two pages or more."""
@@ -52,7 +54,7 @@ def reading_order(lines: DataFrame) -> DataFrame:
     upto = by_y.rowsBetween(W.unboundedPreceding, W.currentRow)
     full = F.col("kind") == "full"
     # a full line opens a band; it comes before the columns that follow it
-    banded = lines.withColumn("band", F.sum(full.cast("int")).over(upto)).withColumn("rank", F.when(full, 0).when(F.col("kind") == "left", 1).otherwise(2))
+    banded = by_key(lines, "page").withColumn("band", F.sum(full.cast("int")).over(upto)).withColumn("rank", F.when(full, 0).when(F.col("kind") == "left", 1).otherwise(2))
     return banded.withColumn("place", F.row_number().over(W.partitionBy("page").orderBy("band", "rank", "y", "x", "id"))).drop("rank")
 
 
@@ -64,7 +66,7 @@ def same_line(lines: DataFrame) -> DataFrame:
     down = W.partitionBy("page").orderBy("y", "x0", "id", "x1", "size", "text")
     gap = F.col("y") - F.lag("y").over(down)
     fresh = F.coalesce(gap > 0.5 * F.least("size", F.lag("size").over(down)), F.lit(True))
-    rows = lines.withColumn("row", F.sum(fresh.cast("int")).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    rows = by_key(lines, "page").withColumn("row", F.sum(fresh.cast("int")).over(down.rowsBetween(W.unboundedPreceding, 0)))
     along = W.partitionBy("page", "row").orderBy("x0", "id", "y", "x1", "size", "text")
     apart = F.coalesce(F.col("x0") - F.lag("x1").over(along) > 1.5 * F.col("size"), F.lit(True))
     parts = rows.withColumn("part", F.sum(apart.cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)))

@@ -17,6 +17,11 @@ from docloom.session import by_key
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
 
 
+def parts_of(df):
+    """Parts of the last exchange of a run."""
+    return df.rdd.getNumPartitions()
+
+
 @pytest.fixture
 def against(spark, tmp_path):
     """Holds a query against its SQL on rows of one table, or gives its result where `sql` is off."""
@@ -81,17 +86,15 @@ def test_references_meet_the_map_one_by_one(spark):
     assert not re.search(r"Aggregate \[doc#\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
 
 
-def parts_of(df):
-    """Parts of the last exchange of a run."""
-    return df.rdd.getNumPartitions()
-
-
 MANY = [(p, 1 + k % 7, p * 31 % 500 + k, p * 17 % 90 + k, 1.0 + (p + k) % 50, "A") for p in range(2000) for k in range(4)]
 
 
-def test_ruled_tables_are_dealt_by_the_size_of_files(spark, against, monkeypatch):
-    monkeypatch.setattr(R, "by_key", lambda df, *keys: by_key(df, *keys, most=2048))
-    against("ruled_table_merge", "lineitem", MANY, LINE)
+@pytest.mark.parametrize(("name", "module"), [("ruled_table_merge", R), ("reading_order", L)])
+def test_pages_are_dealt_by_the_size_of_files(against, monkeypatch, name, module):
+    dealt = []
+    monkeypatch.setattr(module, "by_key", lambda df, *keys: dealt.append(keys) or by_key(df, *keys, most=2048))
+    against(name, "lineitem", MANY, LINE)
+    assert dealt == [("page",)]
 
 
 def test_parts_grow_with_the_files(spark, tmp_path):
