@@ -104,3 +104,12 @@ def test_parts_grow_with_the_files(spark, tmp_path):
     assert 7 <= parts_of(by_key(eight, "page", most=10_000)) / parts_of(by_key(one, "page", most=10_000)) <= 9
     # a frame that isn't files, or a small one, is left to Spark
     assert parts_of(by_key(spark.createDataFrame([(1,)], "page int"), "page")) <= 4 and parts_of(by_key(one, "page")) <= 4
+
+
+@pytest.mark.parametrize("name", ["xlsx_to_markdown"])
+def test_files_of_a_small_table_are_parsed_on_all_cores(spark, tmp_path, name):
+    spark.createDataFrame([(k, f"Supplier#{k}", k % 25, k / 4) for k in range(200)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    # rows are dealt out below the first function that works on a file
+    below = plan[max(plan.rindex("MapInArrow"), plan.rindex("ArrowEvalPython")) :]
+    assert (found := re.search(r"hashpartitioning\(a#\d+, (\d+)\), REPARTITION_BY_NUM", below)) and int(found[1]) >= 4 * spark.sparkContext.defaultParallelism
