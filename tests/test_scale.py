@@ -106,7 +106,7 @@ def test_parts_grow_with_the_files(spark, tmp_path):
     assert parts_of(by_key(spark.createDataFrame([(1,)], "page int"), "page")) <= 4 and parts_of(by_key(one, "page")) <= 4
 
 
-@pytest.mark.parametrize("name", ["xlsx_to_markdown", "pptx_to_text", "drawing_shapes"])
+@pytest.mark.parametrize("name", ["xlsx_to_markdown", "pptx_to_text", "drawing_shapes", "pdf_to_markdown"])
 def test_files_of_a_small_table_are_parsed_on_all_cores(spark, tmp_path, name):
     spark.createDataFrame([(k, f"Supplier#{k}", k % 25, k / 4) for k in range(200)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
