@@ -12,7 +12,9 @@ from docloom.operators import events as E
 from docloom.operators import layout as L
 from docloom.operators import regions as R
 from docloom.plans import catalogue
+from docloom.plans.source_queries import make_pdf
 from docloom.session import by_key
+from docloom.sources import pdf
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
 
@@ -113,3 +115,13 @@ def test_files_of_a_small_table_are_parsed_on_all_cores(spark, tmp_path, name):
     # rows are dealt out below the first function that works on a file
     below = plan[max(plan.rindex("MapInArrow"), plan.rindex("ArrowEvalPython")) :]
     assert (found := re.search(r"hashpartitioning\(a#\d+, (\d+)\), REPARTITION_BY_NUM", below)) and int(found[1]) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_fonts_share_one_table_of_codes():
+    doc = pdf.Document(make_pdf("a", ["b"]))
+    own = pdf.Font(doc, {"Encoding": {"Differences": [65, pdf.Name("z")]}})
+    plain, mac = pdf.Font(doc, {}), pdf.Font(doc, {"Encoding": pdf.Name("MacRomanEncoding")})
+    # worked out once, and not touched by a font's own characters
+    assert pdf._codes("cp1252") is pdf._codes("cp1252")
+    assert [f.chars[65] for f in (own, plain, mac)] == ["z", "A", "A"] and [f.chars[0xC4] for f in (own, plain, mac)] == ["Ä", "Ä", "ƒ"]
+    assert plain.chars == {c: bytes([c]).decode("cp1252", "ignore") for c in range(32, 256)}
