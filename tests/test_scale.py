@@ -1,6 +1,7 @@
 """Cases that only larger tables have: ids on several rows, ties, long maps, few rows of much work."""
 
 import re
+import sys
 from itertools import permutations
 
 import pytest
@@ -12,9 +13,9 @@ from docloom.operators import events as E
 from docloom.operators import layout as L
 from docloom.operators import regions as R
 from docloom.plans import catalogue
-from docloom.plans.source_queries import make_pdf
+from docloom.plans.source_queries import make_deck, make_pdf
 from docloom.session import by_key
-from docloom.sources import pdf
+from docloom.sources import ooxml, pdf
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
 
@@ -125,3 +126,31 @@ def test_fonts_share_one_table_of_codes():
     assert pdf._codes("cp1252") is pdf._codes("cp1252")
     assert [f.chars[65] for f in (own, plain, mac)] == ["z", "A", "A"] and [f.chars[0xC4] for f in (own, plain, mac)] == ["Ä", "Ä", "ƒ"]
     assert plain.chars == {c: bytes([c]).decode("cp1252", "ignore") for c in range(32, 256)}
+
+
+def calls_of(name, run):
+    """How often functions of this name, Python's own ones too, are called in a run."""
+    found = []
+    sys.setprofile(lambda frame, event, arg: found.append(frame.f_code.co_name if event == "call" else getattr(arg, "__name__", "")) if event in ("call", "c_call") else None)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return found.count(name)
+
+
+def test_names_of_xml_are_cut_once(monkeypatch):
+    deck, other = make_deck("a", "1", "7"), make_deck("b", "2.5", "8")
+    want = ooxml.pptx_elements(deck)
+    # a worker's first file brings the names, the others have the same ones
+    assert calls_of("rpartition", lambda: ooxml.pptx_elements(other)) == 0
+    # names in full aren't held without end
+    monkeypatch.setattr(ooxml._Local, "MOST", 3)
+    monkeypatch.setattr(ooxml, "LOCAL", ooxml._Local())
+    assert ooxml.pptx_elements(deck) == want and len(ooxml.LOCAL) <= 3
+
+
+def test_of_attributes_with_one_local_name_the_first_counts():
+    root = ooxml.ET.fromstring('<a xmlns:z="q" xmlns:y="p"><z:b z:r="1" r="2"/><!-- c --><y:b r="3" y:r="4"/></a>')
+    assert [ooxml.attr(x, "r") for x in ooxml.under(root, "b")] == ["1", "3"]
+    assert ooxml.first_under(root, "b") is ooxml.child(root, "b") is root[0] and ooxml.first_under(root, "c") is ooxml.child(root, "b", "c") is None
