@@ -13,7 +13,7 @@ from docloom.operators import events as E
 from docloom.operators import layout as L
 from docloom.operators import regions as R
 from docloom.plans import catalogue
-from docloom.plans.source_queries import make_deck, make_pdf
+from docloom.plans.source_queries import make_book, make_deck, make_pdf
 from docloom.session import by_key
 from docloom.sources import ooxml, pdf
 
@@ -154,3 +154,19 @@ def test_of_attributes_with_one_local_name_the_first_counts():
     root = ooxml.ET.fromstring('<a xmlns:z="q" xmlns:y="p"><z:b z:r="1" r="2"/><!-- c --><y:b r="3" y:r="4"/></a>')
     assert [ooxml.attr(x, "r") for x in ooxml.under(root, "b")] == ["1", "3"]
     assert ooxml.first_under(root, "b") is ooxml.child(root, "b") is root[0] and ooxml.first_under(root, "c") is ooxml.child(root, "b", "c") is None
+
+
+def test_places_of_cells_are_read_once():
+    book, other = make_book("a", "1", "7"), make_book("b", "2.5", "8")
+    ooxml.xlsx_anchors(book)
+    assert calls_of("fullmatch", lambda: ooxml.xlsx_anchors(other)) == 0
+    # a place that is none isn't kept, and raises each time
+    for _ in range(2):
+        with pytest.raises(AttributeError):
+            ooxml._reference("7B")
+
+
+def test_cells_of_one_format_share_it_and_others_dont():
+    cells = {x[2:4]: x[4:] for x in ooxml.xlsx_cells(make_book("a", "1", "7")) if x[0] == 0}
+    assert [cells[k][1:] for k in ((2, 2), (4, 2), (6, 2), (10, 2))] == [(True, False), (True, True), (False, True), (False, False)]
+    assert [cells[k][0] for k in ((6, 2), (8, 2), (8, 4))] == ["a", "7", None]
